@@ -168,7 +168,7 @@ def scan(
             out = []
             for row in batch.itertuples(index=False):
                 user = np.asarray(row.vec, dtype=np.float64)
-                picks = np.asarray(row.picks, dtype=np.float64).reshape(-1, width)
+                picks = matrix_of(row.picks).reshape(-1, width)
                 low, high = cell_dir.score_bounds(spec, user, picks)
                 need = None if keep is None or spec.dedupe else keep + int(row.n_skip)
                 if spec.threshold is not None:
@@ -222,9 +222,7 @@ def scan(
         for at, row in enumerate(left.itertuples(index=False)):
             sims = sims_all[at]
             score = sims
-            picks = np.asarray(
-                [np.asarray(p, dtype=np.float64) for p in row.picks], dtype=np.float64
-            ).reshape(-1, width)
+            picks = matrix_of(row.picks).reshape(-1, width)
             if spec.searches_all and len(picks):
                 near = vectors @ picks.T
                 near = near.max(axis=1) if spec.penalty == "max" else near.mean(axis=1)
@@ -337,6 +335,51 @@ def lists_by_cut(state, taken, items, cells, spec, n_clusters, seed, block_rows)
     )
 
 
+def extender(spec: ListSpec, pool: int, width: int, longest: float, opening: bool):
+    """The step of one round for one user: state and pool in, proven picks out."""
+
+    def extend(mine: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(group):
+            return pd.DataFrame(columns=["user_id", "pos", "item_id", "sim", "score", "finished"])
+        me = mine.iloc[0]
+        user = np.asarray(me["vec"], dtype=np.float64)
+        picked = matrix_of(me["picks"]).reshape(-1, width)
+        group = group.sort_values("item_id")
+        everything = len(group) < (1 if opening else pool)
+        edge = -np.inf if everything else float(group["now"].min())
+        started = spec.rel * user - (spec.div * picked.mean(axis=0) if len(picked) else 0)
+
+        def outside(new: int, on_list: int, vectors_sum) -> float:
+            if new == 0 or everything:
+                return -np.inf
+            if opening:
+                return np.inf
+            if spec.penalty == "max":
+                return edge
+            shift = spec.rel * user - spec.div * vectors_sum / on_list - started
+            return edge + longest * float(np.linalg.norm(shift)) + SLACK
+
+        room = spec.k - len(picked)
+        picks, scores = greedy_picks(
+            spec, matrix_of(group["embedding"]), group["sim"].to_numpy(), None, picked,
+            outside, room,
+        )
+        chosen = group.iloc[picks]
+        over = len(picks) >= room or (everything and len(picks) == len(group))
+        return pd.DataFrame(
+            {
+                "user_id": chosen["user_id"].to_numpy(),
+                "pos": np.arange(len(picked) + 1, len(picked) + len(picks) + 1, dtype=np.int32),
+                "item_id": chosen["item_id"].to_numpy(),
+                "sim": chosen["sim"].to_numpy(),
+                "score": scores,
+                "finished": over,
+            }
+        )
+
+    return extend
+
+
 def lists_by_rounds(state, taken, items, cells, spec, pool, block_rows) -> DataFrame:
     """MMR and Max-Sum over the whole catalogue, exactly, with bounded groups.
 
@@ -359,49 +402,7 @@ def lists_by_rounds(state, taken, items, cells, spec, pool, block_rows) -> DataF
         pool_rows = found.select("user_id", "item_id", "sim", F.col("score").alias("now")).join(
             items.select("item_id", "embedding"), "item_id"
         )
-        opening = turn == 0
-
-        def extend(mine: pd.DataFrame, group: pd.DataFrame, opening=opening) -> pd.DataFrame:
-            if not len(mine) or not len(group):
-                return pd.DataFrame(columns=["user_id", "pos", "item_id", "sim", "score", "finished"])
-            me = mine.iloc[0]
-            user = np.asarray(me["vec"], dtype=np.float64)
-            picked = np.asarray(
-                [np.asarray(p, dtype=np.float64) for p in me["picks"]], dtype=np.float64
-            ).reshape(-1, width)
-            group = group.sort_values("item_id")
-            everything = len(group) < (1 if opening else pool)
-            edge = -np.inf if everything else float(group["now"].min())
-            started = spec.rel * user - (spec.div * picked.mean(axis=0) if len(picked) else 0)
-
-            def outside(new: int, on_list: int, vectors_sum) -> float:
-                if new == 0 or everything:
-                    return -np.inf
-                if opening:
-                    return np.inf
-                if spec.penalty == "max":
-                    return edge
-                shift = spec.rel * user - spec.div * vectors_sum / on_list - started
-                return edge + longest * float(np.linalg.norm(shift)) + SLACK
-
-            room = spec.k - len(picked)
-            picks, scores = greedy_picks(
-                spec, matrix_of(group["embedding"]), group["sim"].to_numpy(), None, picked,
-                outside, room,
-            )
-            chosen = group.iloc[picks]
-            over = len(picks) >= room or (everything and len(picks) == len(group))
-            return pd.DataFrame(
-                {
-                    "user_id": chosen["user_id"].to_numpy(),
-                    "pos": np.arange(len(picked) + 1, len(picked) + len(picks) + 1, dtype=np.int32),
-                    "item_id": chosen["item_id"].to_numpy(),
-                    "sim": chosen["sim"].to_numpy(),
-                    "score": scores,
-                    "finished": over,
-                }
-            )
-
+        extend = extender(spec, pool, width, longest, opening=turn == 0)
         fresh = cut_lineage(
             state.groupBy("user_id").cogroup(pool_rows.groupBy("user_id")).applyInPandas(extend, schema)
         )
