@@ -105,8 +105,9 @@ def hybrid_pairs(
     are the union of two threshold joins; the other part is then computed for them alone.
     ``weights`` should hold only documents that have a vector.
     """
+    weights = cut_lineage(weights)
     close = dense_pairs(items, at_least, limit).select("id_a", "id_b")
-    alike = tfidf.similar_pairs(weights, at_least).select(
+    alike = tfidf.similar_pairs(weights, at_least, stored=True).select(
         F.col("doc_a").alias("id_a"), F.col("doc_b").alias("id_b")
     )
     found = cut_lineage(close.unionByName(alike).distinct())

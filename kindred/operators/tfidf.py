@@ -10,12 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import tokens
-from kindred.session import fits
+from kindred.session import cut_lineage, fits
 
 # Similarities are ranked after rounding to this many digits: copies of a text tie.
 RANK_DIGITS = 9
 
 
+def spread_width(df: DataFrame) -> int:
+    """Tasks for work that grows on explosion: stated, so that small input is not one task."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def grams(words: Column, pairs: bool = True) -> Column:
     """Tokens, and pairs of neighbours when asked for."""
     if not pairs:
@@ -33,8 +39,9 @@ def term_counts(docs: DataFrame, pairs: bool = True, tokenizer=tokens) -> DataFr
     The texts are spread by document first: that shuffle moves each text once, and the
     count per (document, term) then needs no shuffle of its own.
     """
-    spread = docs.select("doc_id", "text").repartition("doc_id")
-    exploded = spread.select("doc_id", F.explode(grams(tokenizer(F.col("text")), pairs)).alias("term"))
+    spread = docs.select("doc_id", "text").repartition(spread_width(docs), "doc_id")
+    words = spread.select("doc_id", tokenizer(F.col("text")).alias("words"))
+    exploded = words.select("doc_id", F.explode(grams(F.col("words"), pairs)).alias("term"))
     return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -119,7 +126,7 @@ def one_per_text(docs: DataFrame, tokenizer=tokens) -> DataFrame:
     )
 
 
-def similar_pairs(weights: DataFrame, at_least: float) -> DataFrame:
+def similar_pairs(weights: DataFrame, at_least: float, stored: bool = False) -> DataFrame:
     """All ``(doc_a < doc_b, sim)`` with ``sim >= at_least``, without forming all pairs.
 
     Terms are ordered from rare to frequent.  Let ``rest`` be the length of a document's
@@ -128,10 +135,13 @@ def similar_pairs(weights: DataFrame, at_least: float) -> DataFrame:
     behind ``t``, and of at most ``min(rest_a, rest_b)``.  So only the rare head of each
     document, where ``rest >= at_least``, is joined by term, and only pairs that pass the
     first bound are verified.  Frequent terms lie in the tail and are not joined at all.
+    ``stored`` says that ``weights`` is a written table already.
     """
     if at_least <= 0:
         raise ValueError("at_least must be positive")
     slack = 1e-9
+    if not stored:
+        weights = cut_lineage(weights)
     tail = (
         Window.partitionBy("doc_id")
         .orderBy(F.desc("df"), F.desc("term"))
