@@ -78,11 +78,14 @@ def concat_fields(*columns: Column | str) -> Column:
     return F.concat_ws(" ", *columns)
 
 
+def zfill3(whole: Column) -> Column:
+    """A whole number with at least three digits; longer ones are not cut."""
+    return F.when(whole.isNotNull(), F.format_string("%03d", whole))
+
+
 def section_zfill(section: Column) -> Column:
     """A number or its text to at least three digits; null gives an empty text."""
-    whole = F.floor(section.try_cast("double")).cast("bigint").cast("string")
-    padded = F.when(F.length(whole) >= 3, whole).otherwise(F.lpad(whole, 3, "0"))
-    return F.coalesce(padded, F.lit(""))
+    return F.coalesce(zfill3(section.try_cast("double").try_cast("bigint")), F.lit(""))
 
 
 def clean_id(value: Column) -> Column:
@@ -124,25 +127,25 @@ def sanitize_sheet_name(name: Column) -> Column:
 def build_item_key(code: Column, section: Column, index: Column) -> Column:
     """``code-section``, the code alone, or ``course-<index>`` when there is no code."""
     c, s = F.trim(F.coalesce(code, F.lit(""))), F.trim(F.coalesce(section, F.lit("")))
-    number = index.cast("string")
-    padded = F.when(F.length(number) >= 3, number).otherwise(F.lpad(number, 3, "0"))
     return F.when((c != "") & (s != ""), F.concat_ws("-", c, s)).when(c != "", c).otherwise(
-        F.concat(F.lit("course-"), padded)
+        F.concat(F.lit("course-"), zfill3(index.cast("bigint")))
     )
 
 
 def url_query_param(url: Column, *names: str, default: str = "") -> Column:
     """First non-empty of the named query parameters."""
-    found = [
-        F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit("")) for name in names
-    ]
-    return F.coalesce(*found, F.lit(default))
+    raw = [F.nullif(F.regexp_extract(url, rf"[?&]{n}=([^&#]+)", 1), F.lit("")) for n in names]
+    return F.coalesce(*[F.coalesce(F.try_url_decode(r), r) for r in raw], F.lit(default))
+
+
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def parse_credit(text: Column) -> Column:
     """The number the text is, else the first number in it, else 0."""
+    whole = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
     first = F.regexp_extract(F.coalesce(text, F.lit("")), r"(\d+(\.\d+)?)", 1)
-    return F.coalesce(F.trim(text).try_cast("double"), first.try_cast("double"), F.lit(0.0))
+    return F.coalesce(whole, first.try_cast("double"), F.lit(0.0))
 
 
 # Labels in the week column that are no week.
@@ -152,13 +155,15 @@ NOT_WEEKS = ["강의내용", "시험과제", "비고", "보강계획", "휴업
 def week_label(text: Column) -> Column:
     """``3``, ``3주`` and ``3주차`` to ``3주차``; dates and other labels to null."""
     t = F.trim(text)
-    number = F.regexp_extract(t, r"^(\d+)\s*(주차|주)?$", 1)
     bad = t.isin(NOT_WEEKS) | t.rlike(r"^20\d{6}주차$") | (F.contains(t, F.lit("주차")) & (F.length(t) >= 10))
+    digits = t.rlike(r"^\d+$")
+    short, long = F.endswith(t, F.lit("주")), F.endswith(t, F.lit("주차"))
+    number = F.trim(F.replace(F.replace(t, F.lit("주차"), F.lit("")), F.lit("주"), F.lit("")))
     return F.when(
-        ~bad & (number != ""),
-        F.when(t.rlike(r"^\d+$"), F.concat(t, F.lit("주차")))
-        .when(F.endswith(t, F.lit("주")), F.concat(t, F.lit("차")))
-        .otherwise(t),
+        ~bad,
+        F.when(digits, F.concat(t, F.lit("주차")))
+        .when(short & number.rlike(r"^\d+$"), F.concat(t, F.lit("차")))
+        .when(long & number.rlike(r"^\d+$"), t),
     )
 
 
