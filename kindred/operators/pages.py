@@ -44,7 +44,7 @@ def after_label(cells: Column, labels: Sequence[str]) -> Column:
         hits = F.transform(cells, lambda c, i: F.when(F.contains(c["text"], F.lit(label)), i))
         place = F.array_min(hits)
         later = F.filter(cells, lambda c, i: (i > place) & c["is_td"])
-        return F.nullif(F.get(later, F.lit(0))["text"], F.lit(""))
+        return F.get(later, F.lit(0))["text"]
 
     return F.coalesce(*[behind(label) for label in labels], F.lit(""))
 
