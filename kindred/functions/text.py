@@ -50,13 +50,8 @@ WEEK_HEADERS = [
 
 def tokens(text: Column, stopwords: Sequence[str] = EDU_STOPWORDS) -> Column:
     """Lower-case Hangul/ASCII tokens of two or more characters, stop words removed."""
-    plain = F.regexp_replace(F.lower(text), r"[^가-힣a-z0-9\s]", " ")
-    words = F.split(plain, r"\s+")
-    kept = F.filter(words, lambda t: F.length(t) > 1)
-    if stopwords:
-        banned = F.array(*[F.lit(w) for w in stopwords])
-        kept = F.filter(kept, lambda t: ~F.array_contains(banned, t))
-    return kept
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[가-힣a-z0-9]{2,}"), 0)
+    return F.filter(words, lambda t: ~t.isin(list(stopwords))) if stopwords else words
 
 
 def clean_text(text: Column, stopwords: Sequence[str] = EDU_STOPWORDS) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
@@ -21,10 +23,20 @@ def norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, also where a lambda uses it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalise(vec: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    size = norm(vec)
-    return F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec)
+
+    def scale(v: Column) -> Column:
+        return let(
+            norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+        )
+
+    return let(vec, scale)
 
 
 def vector_sum(vec: Column) -> Column:

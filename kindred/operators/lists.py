@@ -57,12 +57,17 @@ def with_text_groups(items: DataFrame, names: DataFrame) -> DataFrame:
     return keyed.join(groups, "text_key").drop("text_key", "text")
 
 
+def shuffled(key: str, seed: int) -> F.Column:
+    """A repeatable random order of keys."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """Up to ``n`` rows per group, the same ones on every run."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(group).orderBy(shuffled(key, seed), key)
     return df.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).drop("rn")
 
 
 def sample_cap(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows in hash order, or all rows when there are fewer."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(shuffled(key, seed), key).limit(n)

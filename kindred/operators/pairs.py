@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kindred.functions.vectors import dot
 from kindred.operators import blocks, search, tfidf
 from kindred.operators.selection import SCORE_DIGITS
-from kindred.session import BROADCAST_BYTES, cut_lineage
+from kindred.session import BROADCAST_BYTES, cut_lineage, spread
 
 PAIRS = "id_a bigint, id_b bigint, sim double"
 
@@ -40,7 +40,7 @@ def dense_pairs(items: DataFrame, at_least: float, limit: int = BROADCAST_BYTES)
                         names=["id_a", "id_b", "sim"],
                     )
 
-    return ready.select("item_id", "embedding").mapInArrow(hits, PAIRS)
+    return spread(ready.select("item_id", "embedding"), "item_id").mapInArrow(hits, PAIRS)
 
 
 def near_pairs(
@@ -172,7 +172,7 @@ def pair_histogram(items: DataFrame, bins: int = 50, limit: int = BROADCAST_BYTE
                 [pa.array(np.arange(bins, dtype=np.int32)), pa.array(total)], names=["bin", "n"]
             )
 
-        parts = ready.mapInArrow(reduce, "bin int, n bigint")
+        parts = spread(ready, "item_id").mapInArrow(reduce, "bin int, n bigint")
     else:
         n_blocks = max(1, -(-ready.count() // blocks.BLOCK_ROWS))
         mine = ready.withColumn("a", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int"))

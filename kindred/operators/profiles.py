@@ -28,22 +28,29 @@ def user_profiles(
     history: DataFrame,
     items: DataFrame,
     dedupe_by_code: bool = False,
-    with_codes: bool = False,
 ) -> DataFrame:
-    """``(user_id, vec, n_items[, codes])`` for every user with at least one matching code.
-
-    ``with_codes`` also collects the matched codes of a user.  That list is as long as
-    the catalogue at most, so ask for it only when the catalogue was found small.
-    """
+    """``(user_id, vec, n_items)`` for every user with at least one matching code."""
     taken = history.select("user_id", "code").distinct()
     joined = taken.join(code_sums(items, dedupe_by_code), "code")
-    aggregates = [vector_sum(F.col("total")).alias("total"), F.sum("n").alias("n_items")]
-    if with_codes:
-        aggregates.append(F.collect_list("code").alias("codes"))
-    grouped = joined.groupBy("user_id").agg(*aggregates)
+    grouped = joined.groupBy("user_id").agg(
+        vector_sum(F.col("total")).alias("total"), F.sum("n").alias("n_items")
+    )
     mean = F.transform("total", lambda x: x / F.col("n_items"))
-    keep = ["n_items"] + (["codes"] if with_codes else [])
-    return grouped.select("user_id", l2_normalise(mean).alias("vec"), *keep)
+    return grouped.select("user_id", l2_normalise(mean).alias("vec"), "n_items")
+
+
+def matched_codes(history: DataFrame, items: DataFrame) -> DataFrame:
+    """``(user_id, codes)``: a user's distinct codes that name an item.
+
+    A list is as long as the catalogue at most: for catalogues found small.
+    """
+    known = items.select("code").where(F.col("code").isNotNull()).distinct()
+    return (
+        history.select("user_id", "code")
+        .join(known, "code", "left_semi")
+        .groupBy("user_id")
+        .agg(F.collect_set("code").alias("codes"))
+    )
 
 
 def taken_items(history: DataFrame, items: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ one goes through ``blocks``, which joins users and item blocks by cell.  Both ar
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.vectors import as_double, l2_normalise
 from kindred.operators import blocks
-from kindred.operators.profiles import user_profiles
+from kindred.operators.profiles import matched_codes, user_profiles
 from kindred.operators.selection import (
     SCORE_DIGITS,
     ListSpec,
@@ -25,7 +25,7 @@ from kindred.operators.selection import (
     greedy_picks,
     local_kmeans,
 )
-from kindred.session import BROADCAST_BYTES
+from kindred.session import BROADCAST_BYTES, spread
 
 RECOMMENDATION = (
     "user_id bigint, method string, pos int, item_id bigint, code string, section string, "
@@ -51,6 +51,13 @@ class Catalogue:
         codes, starts = np.unique(self.code[order], return_index=True)
         return dict(zip(codes, np.split(order, starts[1:]), strict=True))
 
+    def profile(self, taken: list[np.ndarray], raw: np.ndarray, dedupe: bool) -> np.ndarray:
+        """Unit mean of the taken items' vectors; one item per code with ``dedupe``."""
+        rows = np.concatenate([t[:1] for t in taken] if dedupe else taken)
+        mean = raw[rows].mean(axis=0)
+        size = np.linalg.norm(mean)
+        return mean / size if size > 0 else mean
+
 
 def unit_items(items: DataFrame, metric: str = "cosine") -> DataFrame:
     """Item vectors as doubles, at unit length for the cosine."""
@@ -67,12 +74,14 @@ def small_catalogue(items: DataFrame, limit: int = BROADCAST_BYTES) -> Catalogue
     """The catalogue as arrays, or None when it may exceed ``limit`` bytes."""
     row_bytes = 8 * vector_width(items) + 64
     most = max(0, limit // row_bytes)
-    if items.limit(most + 1).count() > most:
-        return None
     names = ["item_id", "code", "section", "embedding"]
     names += [c for c in ("cluster", "group_id") if c in items.columns]
-    table = items.select(*names).toArrow().sort_by("item_id")
+    # One job both checks the size and reads: no more than ``limit`` bytes can arrive.
+    table = items.select(*names).limit(most + 1).toArrow()
     n = table.num_rows
+    if n > most:
+        return None
+    table = table.sort_by("item_id")
     flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     ids = table["item_id"].to_numpy()
     return Catalogue(
@@ -105,14 +114,19 @@ def score_chunks(
 
 
 def recommend_small(
-    profiles: DataFrame,
+    users: DataFrame,
     catalogue: Catalogue,
     specs: Sequence[ListSpec],
+    metric: str = "cosine",
+    dedupe_profile: bool = False,
     n_clusters: int = 10,
     seed: int = 42,
 ) -> DataFrame:
-    """All lists of ``specs`` for profiles ``(user_id, vec, codes)``, scores computed once."""
-    shipped = profiles.sparkSession.sparkContext.broadcast(catalogue)
+    """All lists of ``specs`` for users ``(user_id, codes)``, scores computed once.
+
+    The catalogue in the tasks gives the profiles too, so nothing but ids is shuffled.
+    """
+    shipped = users.sparkSession.sparkContext.broadcast(catalogue)
     schema = pa.schema(
         [
             ("user_id", pa.int64()), ("method", pa.string()), ("pos", pa.int32()),
@@ -169,30 +183,35 @@ def recommend_small(
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cat = shipped.value
+        scored = blocks.unit_rows(cat.vectors) if metric == "cosine" else cat.vectors
+        ready = replace(cat, vectors=scored)
+        by_code = cat.positions_by_code()
         waiting: list = []
         rows = 0
-        by_code = cat.positions_by_code()
-        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            users = batch.column("user_id").to_numpy()
-            codes = batch.column("codes")
-            for row, sims in score_chunks(batch, cat.vectors):
-                taken = np.zeros(len(sims), dtype=bool)
-                mine = [by_code.get(c, none) for c in codes[row].as_py() or ()]
-                if mine:
-                    taken[np.concatenate(mine)] = True
-                for spec in specs:
-                    found, scores, labels = one_list(cat, spec, sims, taken)
-                    if len(found):
-                        waiting.append((users[row], spec.method, found, sims[found], labels, scores))
-                        rows += len(found)
+            ids = batch.column("user_id").to_numpy()
+            mine = [[by_code[c] for c in sorted(codes)] for codes in batch.column("codes").to_pylist()]
+            step = max(1, SCORE_CHUNK // max(1, len(scored)))
+            for start in range(0, len(ids), step):
+                part = mine[start : start + step]
+                profiles = np.stack([cat.profile(t, cat.vectors, dedupe_profile) for t in part])
+                block = np.round(profiles @ scored.T, SCORE_DIGITS)
+                for user, codes_at, sims in zip(ids[start : start + step], part, block, strict=True):
+                    taken = np.zeros(len(sims), dtype=bool)
+                    taken[np.concatenate(codes_at)] = True
+                    for spec in specs:
+                        found, scores, labels = one_list(ready, spec, sims, taken)
+                        if len(found):
+                            waiting.append((user, spec.method, found, sims[found], labels, scores))
+                            rows += len(found)
                     if rows >= FLUSH_ROWS:
                         yield flush(waiting)
                         waiting, rows = [], 0
         if waiting:
             yield flush(waiting)
 
-    return profiles.select("user_id", "vec", "codes").mapInArrow(serve, RECOMMENDATION)
+    # A user is a few bytes and much work: state the number of tasks.
+    return spread(users.select("user_id", "codes"), "user_id").mapInArrow(serve, RECOMMENDATION)
 
 
 def recommend(
@@ -212,12 +231,13 @@ def recommend(
     (items that count as the same text).
     """
     specs = [specs] if isinstance(specs, ListSpec) else list(specs)
-    ready = unit_items(items, metric)
-    catalogue = small_catalogue(ready, limit)
+    raw = unit_items(items, "ip")
+    catalogue = small_catalogue(raw, limit)
     if catalogue is not None:
-        profiles = user_profiles(history, items, dedupe_profile, with_codes=True)
-        return recommend_small(profiles, catalogue, specs, n_clusters, seed)
+        users = matched_codes(history, items)
+        return recommend_small(users, catalogue, specs, metric, dedupe_profile, n_clusters, seed)
     profiles = user_profiles(history, items, dedupe_profile)
+    ready = unit_items(items, metric)
     return blocks.recommend_blocked(history, profiles, ready, specs, n_clusters, seed)
 
 
@@ -250,7 +270,7 @@ def score_summary(profiles: DataFrame, items: DataFrame, limit: int = BROADCAST_
                 names=["user_id", "n", "mean_sim", "low_sim", "high_sim"],
             )
 
-    return profiles.select("user_id", "vec").mapInArrow(
+    return spread(profiles.select("user_id", "vec"), "user_id").mapInArrow(
         reduce, "user_id bigint, n bigint, mean_sim double, low_sim double, high_sim double"
     )
 

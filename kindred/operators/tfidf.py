@@ -10,18 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import tokens
-from kindred.session import cut_lineage, fits
+from kindred.session import cut_lineage, fits, spread_width
 
 # Similarities are ranked after rounding to this many digits: copies of a text tie.
 RANK_DIGITS = 9
 
 
-def spread_width(df: DataFrame) -> int:
-    """Tasks for work that grows on explosion: stated, so that small input is not one task."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def grams(words: Column, pairs: bool = True) -> Column:
     """Tokens, and pairs of neighbours when asked for."""
     if not pairs:
@@ -82,9 +76,12 @@ def tfidf(
     max_features: int | None = None,
     tokenizer=tokens,
 ) -> DataFrame:
-    """TF-IDF of ``docs(doc_id, text)``; ``n`` counts every document, empty ones too."""
+    """TF-IDF of ``docs(doc_id, text)``; ``n`` counts every document, empty ones too.
+
+    The counts are written once, because the frequencies and the weights both read them.
+    """
     n_docs = docs.count()
-    counts = term_counts(docs, pairs, tokenizer)
+    counts = cut_lineage(term_counts(docs, pairs, tokenizer))
     frequency = prune(document_frequency(counts), n_docs, min_df, max_df)
     if max_features is not None:
         frequency = top_terms(frequency, max_features)

@@ -545,11 +545,18 @@ def _cluster_head_n(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("cluster_sample_n")
+@query(
+    "cluster_sample_n",
+    f"""WITH {ITEMS} SELECT cluster, item_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(item_id || ':42'), item_id) AS rn FROM items) WHERE rn <= 30""",
+)
 def _cluster_sample_n(spark: SparkSession, sf: str) -> DataFrame:
     return lists.sample_per_group(items(spark, sf).select("cluster", "item_id"), "cluster", "item_id", 30)
 
 
-@query("sample_cap")
+@query(
+    "sample_cap",
+    f"WITH {ITEMS} SELECT item_id, code, section FROM items ORDER BY md5(item_id || ':42'), item_id LIMIT 300",
+)
 def _sample_cap(spark: SparkSession, sf: str) -> DataFrame:
     return lists.sample_cap(items(spark, sf).select("item_id", "code", "section"), "item_id", 300)

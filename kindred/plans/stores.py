@@ -14,6 +14,7 @@ from kindred.operators import cluster, frames, profiles
 from kindred.plans.bind import ITEMS, history, items, names, table
 from kindred.plans.records import SYLLABI_SQL, flat_syllabi, json_syllabi
 from kindred.plans.registry import query
+from kindred.plans.texts import tokens_sql
 from kindred.session import shared_folder
 from kindred.sources import files
 from kindred.streaming.unseen import append_unseen, read_store
@@ -74,11 +75,20 @@ def _lda_topics(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.lda_topics(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("embed_batches")
+@query(
+    "embed_batches",
+    f"""WITH toks AS (SELECT doc_id, unnest({tokens_sql()}) AS t FROM documents),
+marks AS (SELECT doc_id, CAST('0x' || left(md5(t), 8) AS BIGINT) AS m FROM toks),
+sums AS (SELECT doc_id, m % 64 AS dim, sum(CASE WHEN m // 64 % 2 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM marks GROUP BY 1, 2),
+lens AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM sums GROUP BY doc_id)
+SELECT doc_id, CAST(dim AS INT) AS dim, round(CAST(CAST(x / n AS FLOAT) AS DOUBLE), 6) AS x
+FROM sums JOIN lens USING (doc_id) WHERE x <> 0""",
+)
 def _embed_batches(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     made = embed_batches(docs, clean_text(F.col("text")))
-    return made.select("doc_id", F.size("embedding").alias("width"), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",").alias("vec"))
+    parts = made.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    return parts.where("x <> 0").select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 # ---- files --------------------------------------------------------------------------

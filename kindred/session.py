@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is broadcast, or a catalogue shipped whole to the tasks, only below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "kindred", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,7 +30,29 @@ def build_session(app: str = "kindred", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` would; once per application.
+
+    Workers also get one BLAS thread each unless the session says otherwise: Spark already
+    runs a task per core.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    for threads in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        context.environment.setdefault(threads, "1")
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="kindred-py-")) / "kindred.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,6 +83,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_width(df: DataFrame) -> int:
+    """Tasks for work that is heavy per row: stated, so that few bytes are not one task."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows by a hash of ``key`` over ``spread_width`` tasks.
+
+    By an expression and not by the key itself: a plan already partitioned by the key would
+    drop the step and let adaptive execution merge its few bytes into one task.
+    """
+    return df.repartition(spread_width(df), F.xxhash64(key))
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` has at most ``limit / row_bytes`` rows.
 
