@@ -126,40 +126,49 @@ def one_per_text(docs: DataFrame, tokenizer=tokens) -> DataFrame:
 def similar_pairs(weights: DataFrame, at_least: float, stored: bool = False) -> DataFrame:
     """All ``(doc_a < doc_b, sim)`` with ``sim >= at_least``, without forming all pairs.
 
-    Terms are ordered from rare to frequent.  Let ``rest`` be the length of a document's
-    vector from a term onwards.  Two documents whose first common term is ``t`` have a
-    similarity of at most ``w_a * w_b + after_a * after_b``, where ``after`` is the length
-    behind ``t``, and of at most ``min(rest_a, rest_b)``.  So only the rare head of each
-    document, where ``rest >= at_least``, is joined by term, and only pairs that pass the
-    first bound are verified.  Frequent terms lie in the tail and are not joined at all.
-    ``stored`` says that ``weights`` is a written table already.
+    Terms are ordered from rare to frequent.  A document's head ends where the length of
+    what follows falls below ``at_least``; two documents that share no head term cannot
+    reach it, so only heads are joined by term and the frequent terms are never joined.
+    For a pair, the shared head terms give part of the product.  What both share behind the
+    last of them is at most ``after_a * after_b``, and because it lies in the tail of at
+    least one of them, at most ``tail * after`` of the other.  Only pairs whose part plus
+    bound reaches ``at_least`` are verified.  ``stored`` says that ``weights`` is a written
+    table already.
     """
     if at_least <= 0:
         raise ValueError("at_least must be positive")
     slack = 1e-9
     if not stored:
         weights = cut_lineage(weights)
-    tail = (
-        Window.partitionBy("doc_id")
-        .orderBy(F.desc("df"), F.desc("term"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    document = Window.partitionBy("doc_id")
+    backwards = document.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    edge = (at_least - slack) ** 2
     heads = (
-        weights.withColumn("rest2", F.sum(F.col("weight") * F.col("weight")).over(tail))
-        .where(F.col("rest2") >= (at_least - slack) ** 2)
-        .withColumn("after", F.sqrt(F.greatest(F.col("rest2") - F.col("weight") ** 2, F.lit(0.0))))
-        .select("doc_id", "term", "weight", "after")
+        weights.withColumn("rest2", F.sum(F.col("weight") * F.col("weight")).over(backwards))
+        .withColumn("tail2", F.max(F.when(F.col("rest2") < edge, F.col("rest2"))).over(document))
+        .where(F.col("rest2") >= edge)
+        .select(
+            "doc_id", "term", "weight",
+            F.sqrt(F.greatest(F.col("rest2") - F.col("weight") ** 2, F.lit(0.0))).alias("after"),
+            F.sqrt(F.coalesce("tail2", F.lit(0.0))).alias("tail"),
+        )
+    )
+    heads = cut_lineage(heads)
+    a = heads.toDF("doc_a", "term", "wa", "after_a", "tail_a")
+    b = heads.toDF("doc_b", "term", "wb", "after_b", "tail_b")
+    behind = F.least(
+        F.col("after_a") * F.col("after_b"),
+        F.greatest(F.col("tail_a") * F.col("after_b"), F.col("tail_b") * F.col("after_a")),
     )
-    a = heads.select(F.col("doc_id").alias("doc_a"), "term", F.col("weight").alias("wa"), F.col("after").alias("ra"))
-    b = heads.select(F.col("doc_id").alias("doc_b"), "term", F.col("weight").alias("wb"), F.col("after").alias("rb"))
-    bound = F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb")
     found = (
         a.join(b, "term")
-        .where((F.col("doc_a") < F.col("doc_b")) & (bound >= at_least - slack))
-        .select("doc_a", "doc_b")
-        .distinct()
+        .where(F.col("doc_a") < F.col("doc_b"))
+        .groupBy("doc_a", "doc_b")
+        .agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.min(behind).alias("behind"))
+        .where(F.col("part") + F.col("behind") >= at_least - slack)
     )
-    return pair_products(found, weights).where(F.col("sim") >= at_least)
+    # Written, so that its true size decides how the weights are joined.
+    return pair_products(cut_lineage(found), weights).where(F.col("sim") >= at_least)
 
 
 def pair_products(pairs: DataFrame, weights: DataFrame) -> DataFrame:
