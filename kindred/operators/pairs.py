@@ -89,6 +89,8 @@ def near_pairs(
         return pd.DataFrame({"id_a": id_a[i], "id_b": id_b[j], "sim": sims[i, j]})
 
     keys = ["cell", "ublock", "iblock"]
+    # Both sides come from one table: fresh names for the columns of one of them.
+    right = right.toDF(*right.columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, PAIRS)
 
 
@@ -177,7 +179,8 @@ def pair_histogram(items: DataFrame, bins: int = 50, limit: int = BROADCAST_BYTE
         n_blocks = max(1, -(-ready.count() // blocks.BLOCK_ROWS))
         mine = ready.withColumn("a", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int"))
         others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-        rows, columns = mine.withColumn("b", others), mine.withColumnRenamed("a", "b").withColumn("a", others)
+        rows = mine.withColumn("b", others)
+        columns = mine.toDF("item_id", "embedding", "b").withColumn("a", others)
 
         def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):

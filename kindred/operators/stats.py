@@ -33,15 +33,17 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> DataFrame
     """
     x = F.col(column).cast("double")
     values = df.select(x.alias("x")).where("x is not null")
-    gap = 2.0 / ACCURACY
+    n = values.count()
+    schema = "prob double, value double"
+    if not n:
+        return df.sparkSession.createDataFrame([(p, None) for p in probs], schema)
+    # The approximate rank errs by 1 / ACCURACY; both neighbours of a rank must lie inside.
+    gap = 2.0 / ACCURACY + 2.0 / n
     wanted = [p for q in probs for p in (max(q - gap, 0.0), min(q + gap, 1.0))]
     first = values.agg(
-        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.min("x").alias("low"), F.max("x").alias("high"),
         F.percentile_approx("x", wanted, ACCURACY).alias("edges"),
     ).first()
-    schema = "prob double, value double"
-    if not first["n"]:
-        return df.sparkSession.createDataFrame([(p, None) for p in probs], schema)
     edges = []
     for i, p in enumerate(probs):
         low = first["low"] if p - gap <= 0 else first["edges"][2 * i]
@@ -66,9 +68,9 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> DataFrame
     )
     picks = []
     for i, p in enumerate(probs):
-        at = p * (first["n"] - 1)
+        at = p * (n - 1)
         lower = int(at)
-        upper = min(lower + 1, first["n"] - 1)
+        upper = min(lower + 1, n - 1)
         mine = ranked.where(F.col("i") == i)
 
         def value_at(rank: int):
