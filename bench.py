@@ -50,7 +50,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    warm = os.environ.get("BENCH_WARM_DIR", os.path.join(os.path.dirname(sf), "sf0.001"))
+    warm = os.environ.get("BENCH_WARM_DIR", os.path.join(os.path.dirname(sf), "sf0.01"))
     taken = {}
     for name in names:
         if os.path.isdir(warm):

@@ -59,8 +59,12 @@ def idf(df: Column, n_docs: int | Column) -> Column:
 
 
 def weigh(counts: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
-    """``(doc_id, term, weight, df)`` at unit length, partitioned by document."""
-    raw = counts.join(frequency.select("term", "df"), "term").select(
+    """``(doc_id, term, weight, df)`` at unit length, partitioned by document.
+
+    The frequency side has one row per term, so a hash table per task spares the sort of
+    the counts by term.
+    """
+    raw = counts.join(frequency.select("term", "df").hint("shuffle_hash"), "term").select(
         "doc_id", "term", "df",
         ((F.lit(1.0) + F.log(F.col("tf"))) * idf(F.col("df"), n_docs)).alias("raw"),
     )

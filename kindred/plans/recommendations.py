@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.vectors import as_double, l2_normalise, vector_mean
 from kindred.operators import compare, lists, profiles, search, selection
+from kindred.operators.ingest import text_key
 from kindred.plans.bind import (
     BASE,
     HISTORY,
@@ -517,8 +518,9 @@ def _offset_nth(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _dedupe_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     """First row of each text; an aggregate, so copies collapse before the shuffle."""
-    docs = table(spark, sf, "documents")
-    return lists.keep_first(docs.select("text", "doc_id", "source"), ["text"], "doc_id")
+    docs = table(spark, sf, "documents").select("text", "doc_id", "source")
+    keyed = docs.withColumn("text_key", text_key())
+    return lists.keep_first(keyed, ["text_key"], "doc_id").drop("text_key")
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +13,11 @@ from kindred.plans.bind import ITEMS, history, items, names, table
 from kindred.plans.records import SYLLABI_SQL, flat_syllabi, json_syllabi
 from kindred.plans.registry import query
 from kindred.plans.texts import tokens_sql
-from kindred.session import shared_folder
+from kindred.session import fresh_path
 from kindred.sources import files
 from kindred.streaming.unseen import append_unseen, read_store
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- clusters and projections -------------------------------------------------------
 
 

@@ -70,6 +70,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; all paths of an application lie in one folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/kindred-{application}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
@@ -78,7 +84,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columns they need, and the size on disk lets Catalyst choose broadcasts.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kindred-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
