@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.vectors import dot
+from kindred.functions.vectors import dot, vector_sum
+from kindred.operators.profiles import taken_items
 from kindred.operators.selection import (
     SCORE_DIGITS,
     ListSpec,
@@ -453,8 +454,6 @@ def recommend_blocked(
     pool: int = 1024,
 ) -> DataFrame:
     """The lists of ``specs`` when the catalogue is not known to be small."""
-    from kindred.operators.profiles import taken_items
-
     assigned, cells = build_cells(items, block_rows, max_cells, seed)
     taken = cut_lineage(taken_items(history, assigned))
     state = cut_lineage(skip_counts(profiles, taken))
@@ -474,8 +473,6 @@ def score_summary_blocked(profiles: DataFrame, items: DataFrame) -> DataFrame:
     The mean is the product with the mean item; the extremes are one-item searches for
     the profile and for its negative.
     """
-    from kindred.functions.vectors import vector_sum
-
     assigned, cells = build_cells(items)
     whole = assigned.agg(vector_sum(F.col("embedding")).alias("total"), F.count("*").alias("n")).first()
     mean = F.array(*[F.lit(float(x) / whole["n"]) for x in whole["total"]])

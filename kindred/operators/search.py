@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.vectors import as_double, l2_normalise
+from kindred.functions.vectors import as_double, dot, l2_normalise
 from kindred.operators import blocks
 from kindred.operators.profiles import matched_codes, user_profiles
 from kindred.operators.selection import (
@@ -277,8 +277,6 @@ def score_summary(profiles: DataFrame, items: DataFrame, limit: int = BROADCAST_
 
 def score_pairs(pairs: DataFrame, profiles: DataFrame, items: DataFrame) -> DataFrame:
     """Cosine of each listed ``(user_id, item_id)`` pair: two equi-joins and one product."""
-    from kindred.functions.vectors import dot
-
     ready = unit_items(items).select("item_id", F.col("embedding").alias("item_vec"))
     return (
         pairs.join(ready, "item_id")

@@ -1,4 +1,4 @@
-"""Name → (query, reference SQL) registry filled by the modules of this package."""
+"""Registry of queries and the SQL each must equal, filled by the modules of this package."""
 
 from __future__ import annotations
 

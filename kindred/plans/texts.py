@@ -15,7 +15,6 @@ from kindred.plans.bind import (
     UNIT_ITEMS,
     history,
     items,
-    profiles_sql,
     table,
 )
 from kindred.plans.registry import query
