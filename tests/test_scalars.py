@@ -18,7 +18,7 @@ def apply(spark, fn, values, kind="string"):
         (tx.parse_credit, {"3": 3.0, "3학점": 3.0, "": 0.0, "x": 0.0, "2.5 점": 2.5, None: 0.0}),
         (tx.clean_text, {"The 강의 Data-Base 2 분석!": "the data base 분석", "": "", "é à ç": ""}),
         (tx.label_preview, {"a b c": "a b", " one ": "one", "": ""}),
-        (tx.sanitize_filename, {'a/b:c*?"<>|\\d ': "a_b_c______d"}),
+        (tx.sanitize_filename, {'a/b:c*?"<>|\\d ': "a_b_c_______d"}),
         (lambda c: tx.url_query_param(c, "haksu_no", "CurrCode"), {"http://a/b?haksu_no=AC%2F1&x=1": "AC/1", "http://a/b?CurrCode=Z9": "Z9", "http://a/b?haksu_no=&CurrCode=Z": "Z", "http://a": ""}),
         (lambda c: tx.named_number(c, "중간"), {"중간고사 : 30 %": 30, "기말 40": None}),
         (lambda c: tx.default_if_blank(c, "웹강의"), {"": "웹강의", None: "웹강의", "월1": "월1"}),
