@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe_tree, host_quality, url_rules, vector_packing
+from kindred.llm import (
+    bpe_tree,
+    byte_cnn,
+    cover_topk,
+    crf_langid,
+    host_quality,
+    line_dedup,
+    minhash_paths,
+    pu_toxicity,
+    url_rules,
+    vector_packing,
+)
+from kindred.llm.common import fold
 from kindred.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +46,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = line_dedup.dedupe(table(spark, sf, "documents"))
+    return cut.select(
+        "doc_id",
+        F.size("line_equal").alias("n_equal"),
+        F.size("line_near").alias("n_near"),
+        F.length(F.coalesce("line_text", F.lit(""))).alias("chars_left"),
+        F.md5(F.coalesce("line_text", F.lit(""))).alias("text_md5"),
+    )
+
+
 # The rules of the URL filter query.
 URL_RULES = [
     ("org/", "allow"),
@@ -105,6 +129,47 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0),
+    sets AS (SELECT DISTINCT doc_id, w[i:i + 4] AS s FROM spots),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b USING (s)
+            WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+              WHERE 100 * met.n >= 85 * (p.n + q.n - met.n)),
+    both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (WITH RECURSIVE r(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x)
+              SELECT x, min(y) AS y FROM r GROUP BY x)
+    SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(least(y, doc_id), doc_id) AS component_id,
+      doc_id = coalesce(least(y, doc_id), doc_id) AS kept
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON x = doc_id"""
+)
+def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_paths.near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    field = crf_langid.fit_field(docs.where(fold("doc_id", 3) != 1))
+    return crf_langid.label(docs, field).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, seen = table(spark, sf, "documents"), fold("doc_id", 3) != 1
+    labels = table(spark, sf, "labels").where(seen).select("doc_id", F.col("quality").alias("label"))
+    network = byte_cnn.fit_network(docs.where(seen), labels)
+    return byte_cnn.score(docs, network).select(
+        "doc_id", (~seen).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query()
 def op7_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -117,6 +182,31 @@ def op7_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, seen = table(spark, sf, "documents"), fold("doc_id", 4) != 2
+    labels = table(spark, sf, "labels").where(seen)
+    prior = pu_toxicity.class_prior(labels.select("doc_id", F.col("toxic").alias("label")))
+    models = pu_toxicity.fit_models(docs.where(seen), labels.where("toxic = 1").select("doc_id"), prior)
+    return pu_toxicity.score(docs, models).select(
+        "doc_id", (~seen).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query(
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+                 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+    scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+               FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 5"""
+)
+def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return cover_topk.search(table(spark, sf, "embeddings"), every=50, k=5)
+
+
 @query()
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = vector_packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
