@@ -162,7 +162,7 @@ def fit_network(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Network
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     pick = F.xxhash64(F.col("doc_id"), F.lit(fit.seed))
-    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= fit.most_chars))
+    short = docs.select("doc_id", "text").where(F.length("text") <= fit.most_chars)
     ids = short.select("doc_id").join(broadcast_if_fits(known, 32), "doc_id").withColumn("pick", pick)
     parts = [ids.where(F.col("label") == y).orderBy("pick", "doc_id").limit(fit.per_class) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "label"))

@@ -38,7 +38,7 @@ class Fit:
     chain: int = 32
     epochs: int = 3
     batch: int = 128
-    rate: float = 0.3
+    rate: float = 0.1
     decay: float = 1e-6
     switch: float = 0.3
     seed: int = 3
@@ -131,7 +131,7 @@ class Field:
         for words, y in zip(texts, labels, strict=True):
             ids = np.array([number[w] for w in words], int)
             chains += [(ids[i : i + fit.chain], np.full(len(ids[i : i + fit.chain]), y)) for i in range(0, len(ids), fit.chain)]
-        history, moves_history = np.full_like(self.weights, 1e-8), np.full_like(self.moves, 1e-8)
+        history, moves_history = np.full_like(self.weights, 1e-4), np.full_like(self.moves, 1e-4)
         for _ in range(fit.epochs):
             order = rng.permutation(len(chains))
             for at in range(0, len(order), fit.batch):
@@ -240,7 +240,7 @@ def fit_field(docs: DataFrame, fit: Fit = Fit()) -> Field:
     Every word of a row counts as of the row's language; equal ids are rows of their own. Without
     usable rows the field has no language.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= fit.most_chars))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= fit.most_chars))
     order = Window.partitionBy("lang").orderBy("pick", "doc_id")
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(fit.seed)).alias("pick"))
     chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit.per_lang)
