@@ -11,7 +11,7 @@ each user's local best before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -277,13 +277,21 @@ def skip_counts(profiles: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def lists_by_cut(state, taken, items, cells, spec, n_clusters, seed, block_rows) -> DataFrame:
-    """Lists whose candidates are one similarity cut (or everything under a threshold)."""
-    keep = spec.pool if spec.pool is not None else spec.k
-    before = taken if spec.taken == "before" else None
+    """Lists whose candidates are one similarity cut (or everything under a threshold).
+
+    A list that dedupes without a pool has its ``k`` best groups straight from the scan; with a
+    pool the cut comes first, as for any list.
+    """
+    whole = spec.cut is None and spec.dedupe
+    before = taken if spec.drops_first else None
     plain = state if before is not None else state.withColumn("n_skip", F.lit(0))
-    found = scan(plain, before, items, cells, spec, keep, block_rows)
-    if spec.taken == "after":
+    found = scan(plain, before, items, cells, replace(spec, dedupe=whole), spec.k if whole else spec.cut, block_rows)
+    if spec.taken == "after" and not spec.drops_first:
         found = found.join(taken.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    if spec.dedupe and not whole and "group_id" in items.columns:
+        first = Window.partitionBy("user_id", "group_id").orderBy(F.desc("sim"), "item_id")
+        found = found.join(items.select("item_id", "group_id"), "item_id")
+        found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "group_id")
     names = items.select("item_id", "code", "section", *(["cluster"] if "cluster" in items.columns else []))
     if "cluster" not in names.columns:
         names = names.withColumn("cluster", F.lit(None).cast("bigint"))
@@ -393,6 +401,8 @@ def lists_by_rounds(state, taken, items, cells, spec, pool, block_rows) -> DataF
     width = cells.pivots.shape[1]
     total = int(cells.count.sum())
     longest = float(cells.longest.max()) if total else 1.0
+    if spec.taken == "keep":  # only what a round has picked is passed over
+        state, taken = state.withColumn("n_skip", F.lit(0)), taken.where("false")
     state = cut_lineage(state.withColumn("n_picked", F.lit(0)))
     taken = cut_lineage(taken.select("user_id", "item_id"))
     done: list[DataFrame] = []
@@ -451,7 +461,7 @@ def recommend_blocked(
     seed: int = 42,
     block_rows: int = BLOCK_ROWS,
     max_cells: int = MAX_CELLS,
-    pool: int = 1024,
+    pool: int = 1000,
 ) -> DataFrame:
     """The lists of ``specs`` when the catalogue is not known to be small."""
     assigned, cells = build_cells(items, block_rows, max_cells, seed)

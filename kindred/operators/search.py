@@ -47,9 +47,11 @@ class Catalogue:
     group: np.ndarray
 
     def positions_by_code(self) -> dict[str, np.ndarray]:
-        order = np.argsort(self.code, kind="stable")
+        """Rows of each code; items without one belong to none."""
+        known = np.flatnonzero(self.code != None)  # noqa: E711 - element by element
+        order = known[np.argsort(self.code[known], kind="stable")]
         codes, starts = np.unique(self.code[order], return_index=True)
-        return dict(zip(codes, np.split(order, starts[1:]), strict=True))
+        return dict(zip(codes, np.split(order, starts[1:]), strict=True)) if len(codes) else {}
 
     def profile(self, taken: list[np.ndarray], raw: np.ndarray, dedupe: bool) -> np.ndarray:
         """Unit mean of the taken items' vectors; one item per code with ``dedupe``."""
@@ -65,28 +67,23 @@ def unit_items(items: DataFrame, metric: str = "cosine") -> DataFrame:
     return items.withColumn("embedding", l2_normalise(vec) if metric == "cosine" else vec)
 
 
-def vector_width(items: DataFrame) -> int:
-    row = items.select(F.size("embedding").alias("d")).first()
-    return int(row["d"]) if row else 0
-
 
 def small_catalogue(items: DataFrame, limit: int = BROADCAST_BYTES) -> Catalogue | None:
     """The catalogue as arrays, or None when it may exceed ``limit`` bytes."""
-    row_bytes = 8 * vector_width(items) + 64
-    most = max(0, limit // row_bytes)
     names = ["item_id", "code", "section", "embedding"]
     names += [c for c in ("cluster", "group_id") if c in items.columns]
-    # One job both checks the size and reads: no more than ``limit`` bytes can arrive.
-    table = items.select(*names).limit(most + 1).toArrow()
-    n = table.num_rows
-    if n > most:
+    text = F.coalesce(F.octet_length("code"), F.lit(0)) + F.coalesce(F.octet_length("section"), F.lit(0))
+    size = items.agg((F.sum(8 * F.size("embedding") + text) + 64 * F.count("*")).alias("bytes")).first()["bytes"]
+    if (size or 0) > limit or not limit:
         return None
+    table = items.select(*names).toArrow()
+    n = table.num_rows
     table = table.sort_by("item_id")
     flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     ids = table["item_id"].to_numpy()
     return Catalogue(
         item_id=ids,
-        code=np.array([c or "" for c in table["code"].to_pylist()], dtype=object),
+        code=np.array(table["code"].to_pylist(), dtype=object),
         section=np.array(table["section"].to_pylist(), dtype=object),
         vectors=np.ascontiguousarray(flat.reshape(n, -1), dtype=np.float64),
         cluster=table["cluster"].to_numpy() if "cluster" in names else None,

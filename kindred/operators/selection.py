@@ -19,9 +19,10 @@ SCORE_DIGITS = 12
 class ListSpec:
     """One list per user.
 
-    ``pool`` cuts the candidates by similarity before the greedy step.  ``taken`` says
-    what happens to items the user already has: ``keep`` them, drop them ``before``
-    the cut, or ``after`` it.  A candidate's greedy score is
+    The order is: drop what is above ``threshold``; cut by similarity to ``pool`` (without one, a
+    plain list without ``dedupe`` is cut to ``k``); one item per group with ``dedupe``; the list.
+    ``taken`` says what happens to items the user already has: ``keep`` them, drop them ``before``
+    the cut, or ``after`` it and before ``dedupe``.  A candidate's greedy score is
     ``rel * sim - div * penalty(sims to picked) + cov * (1 - share of its cluster)``.
     """
 
@@ -37,10 +38,28 @@ class ListSpec:
     step_by_length: bool = False
     dedupe: bool = False
 
+    def __post_init__(self) -> None:
+        """A list means the same for a catalogue of any size, so what only a small one could do is refused."""
+        if self.taken not in ("keep", "before", "after"):
+            raise ValueError("taken is keep, before or after")
+        if self.searches_all and (self.k is None or self.cov > 0 or self.dedupe):
+            raise ValueError("a greedy list over the whole catalogue needs k, and no coverage term or dedupe; set pool")
+
     @property
     def greedy(self) -> bool:
         return self.div > 0 or self.cov > 0
 
+    @property
+    def cut(self) -> int | None:
+        """How many of the most similar items are looked at; None for all."""
+        plain = not self.greedy and not self.dedupe
+        return self.k if plain and self.pool is None else self.pool
+
+    @property
+    def drops_first(self) -> bool:
+        """Taken items go before the cut; without a cut, before and after are the same."""
+        return self.taken == "before" or (self.taken == "after" and self.cut is None)
+
     @property
     def searches_all(self) -> bool:
         """Greedy over the whole catalogue, not over a similarity cut."""
@@ -105,15 +124,12 @@ def candidates(spec: ListSpec, sims: np.ndarray, taken: np.ndarray, group: np.nd
     ``sims`` runs over items in ``item_id`` order.
     """
     usable = np.ones(len(sims), dtype=bool)
-    if spec.taken == "before":
+    if spec.drops_first:
         usable &= ~taken
     if spec.threshold is not None:
         usable &= sims <= spec.threshold
     where = np.flatnonzero(usable)
-    cut = spec.pool
-    if not spec.greedy and not spec.dedupe and cut is None:
-        cut = spec.k
-    found = where[best_first(sims[where], cut)]
+    found = where[best_first(sims[where], spec.cut)]
     if spec.taken == "after":
         found = found[~taken[found]]
     if spec.dedupe:

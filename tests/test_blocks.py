@@ -44,3 +44,47 @@ def test_distinct_texts(spark, sf):
 def test_whole_catalogue_greedy(spark, sf, spec):
     small, large = both(spark, sf, [spec], pool=64)
     assert small and small == large
+
+
+def custom(taken, pool, dedupe, cov, k):
+    greedy = {"rel": 0.6, "cov": cov} if cov else {}
+    name = f"{taken}-{pool}-{dedupe}-{cov}-{k}"
+    return selection.ListSpec(name, k=k, pool=pool, taken=taken, dedupe=dedupe, **greedy)
+
+
+def test_every_combination_means_the_same(spark, sf):
+    """taken x pool x dedupe x coverage x length, some items without a code, some texts shared."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    stock = items(spark, sf).withColumn("code", F.when(F.col("item_id") % 7 != 3, F.col("code")))
+    stock = stock.withColumn("group_id", F.floor(F.col("item_id") / 2))
+    specs = [
+        custom(taken, pool, dedupe, cov, k)
+        for taken, pool, dedupe, cov, k in product(
+            ("keep", "before", "after"), (None, 40), (False, True), (0.0, 0.4), (12, None)
+        )
+        if not (cov and pool is None) and not (pool is None and k is None)
+    ]
+    specs += [selection.ListSpec(f"all-{t}", k=4, taken=t, rel=0.5, div=0.5, penalty=p) for t in ("keep", "after") for p in ("max", "mean")]
+    past = history(spark, sf).where("user_id % 9 = 0")
+    small = search.recommend(past, stock, specs)
+    large = blocks.recommend_blocked(
+        past, user_profiles(past, stock), search.unit_items(stock), specs, block_rows=90, max_cells=6, pool=64
+    )
+    cols = ["method", "user_id", "pos", "item_id", "code", "section", "cluster"]
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+
+    a, b = rows(small), rows(large)
+    assert {r[0] for r in a} == {s.method for s in specs}
+    assert any(r[4] is None for r in a)
+    assert a == b
+
+
+@pytest.mark.parametrize("bad", [{"cov": 0.4}, {"div": 0.5, "k": None}, {"div": 0.5, "dedupe": True}, {"taken": "never"}])
+def test_lists_that_would_depend_on_size_are_refused(bad):
+    with pytest.raises(ValueError):
+        selection.ListSpec("x", **bad)
