@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import tokens
-from kindred.session import cut_lineage, fits, spread_width
+from kindred.session import broadcast_if_fits, cut_lineage, fits, spread_width
 
 # Similarities are ranked after rounding to this many digits: copies of a text tie.
 RANK_DIGITS = 9
+TERM_BYTES = 128
 
 
 def grams(words: Column, pairs: bool = True) -> Column:
@@ -61,10 +62,10 @@ def idf(df: Column, n_docs: int | Column) -> Column:
 def weigh(counts: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
     """``(doc_id, term, weight, df)`` at unit length, partitioned by document.
 
-    The frequency side has one row per term, so a hash table per task spares the sort of
-    the counts by term.
+    The frequencies are broadcast when they are proven to fit: the counts then stay where they are.
     """
-    raw = counts.join(frequency.select("term", "df").hint("shuffle_hash"), "term").select(
+    known = cut_lineage(frequency.select("term", "df"))
+    raw = counts.join(broadcast_if_fits(known, TERM_BYTES), "term").select(
         "doc_id", "term", "df",
         ((F.lit(1.0) + F.log(F.col("tf"))) * idf(F.col("df"), n_docs)).alias("raw"),
     )

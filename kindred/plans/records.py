@@ -355,8 +355,8 @@ def syllabus_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "page_label_next_cell",
-    r"""SELECT doc_id, trim(regexp_replace(source, '\s+', ' ', 'g')) AS name, lang AS professor,
-  trim(regexp_replace(text, '\s+', ' ', 'g')) AS overview, '' AS book FROM documents""",
+    """SELECT doc_id, trim(source) AS name, lang AS professor, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS overview,
+  '' AS book FROM documents""",
 )
 def _page_label_next_cell(spark: SparkSession, sf: str) -> DataFrame:
     read = syllabus_pages(spark, sf).select("doc_id", pages.page_cells(F.col("html")).alias("cells"))
@@ -384,7 +384,7 @@ def _page_weekly_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 CLEAN_HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace({html}, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+  '&middot;', chr(183)), '&copy;', chr(169)), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
 
 @query("page_text", f"SELECT page_id, {CLEAN_HTML.format(html='html')} AS text FROM pages")
@@ -405,7 +405,7 @@ SELECT page_id, CAST(table_no AS INT) AS table_no, CAST(row_no AS INT) AS row_no
     lambda c: {CLEAN_HTML.format(html="c")}), '|') AS cells FROM rows""",
 )
 def _page_table_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pages.table_rows(table(spark, sf, "pages"), "page_id", table="ul", row="li", cell="a")
+    rows = pages.table_rows(table(spark, sf, "pages"), "page_id", table="ul", row="li", cell=["a"])
     return rows.withColumn("cells", F.array_join("cells", "|"))
 
 

@@ -86,3 +86,19 @@ def test_pages(spark):
     assert {(r["week"], r["field"], r["value"]) for r in plan} == {
         ("1주차", "강의주제", "a"), ("1주차", "시험및과제", "b"), ("2주차", "강의주제", "c"), ("2주차", "시험및과제", ""),
     }
+
+
+NESTED = """<p>a&nbsp;b &middot; &copy; &#8364;&#x41;</p><table><tr><td>강의개요<td>one<br>two <table><tr><td>in&eacute;</td></tr></table> three
+<tr><td>next</table><!-- no --><style>p{}</style>"""
+
+
+def test_nested_tables_line_breaks_and_references(spark):
+    df = spark.createDataFrame([(1, NESTED), (2, None), (3, "")], "id int, html string")
+    rows = {(r.id, r.table_no, r.row_no): r.cells for r in pages.table_rows(df, "id").collect()}
+    assert rows == {
+        (1, 0, 0): ["강의개요", "one\ntwo\niné\nthree"], (1, 0, 1): ["next"], (1, 1, 0): ["iné"],
+    }
+    text = {r.id: r.t for r in df.select("id", pages.visible_text(F.col("html")).alias("t")).collect()}
+    assert text == {1: "a b · © €A 강의개요 one two iné three next", 2: "", 3: ""}
+    found = df.select("id", pages.after_label(pages.page_cells(F.col("html")), ["강의개요"]).alias("v"))
+    assert {r.id: r.v for r in found.collect()} == {1: "one\ntwo\niné\nthree", 2: "", 3: ""}
