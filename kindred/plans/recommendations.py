@@ -46,33 +46,40 @@ def greedy_sql(
     candidates: str, k: int, rel: float, div: float = 0.0, cov: float = 0.0,
     penalty: str = "mean", by_similarity: bool = True, cluster: str = "",
 ) -> str:
-    """Greedy selection as a recursive CTE; the state of a user is the list picked so far."""
+    """Greedy selection as a recursive CTE with one row per open candidate.
+
+    A row carries the running maximum or sum of similarities to the list and the number of picks
+    from its cluster; the row ranked first is the pick of its round.
+    """
     tie = "sim DESC, item_id" if by_similarity else "item_id"
     first = f"{rel} * sim + {cov}" if by_similarity else "sim"
-    reduce = {"max": "list_max", "mean": "list_avg"}[penalty]
-    over = f"{reduce}(list_transform(p.vecs, lambda v: list_inner_product(v, c.embedding)))"
-    score = f"{rel} * c.sim"
+    near = "list_inner_product(u.embedding, b.embedding)" if div else "0.0"
+    start, grown = ("-2.0", f"greatest(s.acc, {near})") if penalty == "max" else ("0.0", f"s.acc + {near}")
+    score = f"{rel} * sim"
     if div:
-        score += f" - {div} * {over}"
+        score += f" - {div} * acc" + ("" if penalty == "max" else " / pos")
     if cov:
-        score += f" + {cov} * (1 - len(list_filter(p.clusters, lambda x: x = c.cluster)) * 1.0 / p.steps)"
+        score += f" + {cov} * (1 - same * 1.0 / steps)"
+    best = "OVER (PARTITION BY user_id)"
     return f"""
 cand AS ({candidates}),
 sized AS (SELECT user_id, least({k}, count(*)) AS steps FROM cand GROUP BY user_id),
-picks AS (
-  SELECT user_id, {"steps" if cluster == "length" else f"{k}"} AS steps, 1 AS pos, [item_id] AS ids, [embedding] AS vecs, [cluster] AS clusters,
-         item_id, code, section, sim, cluster
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {first} DESC, {tie}) AS rn
-        FROM cand JOIN sized USING (user_id)) WHERE rn = 1
+state AS (
+  SELECT user_id, {"steps" if cluster == "length" else f"{k}"} AS steps, 1 AS pos, item_id, sim, cluster,
+         {start}::DOUBLE AS acc, 0 AS same, row_number() OVER (PARTITION BY user_id ORDER BY {first} DESC, {tie}) AS rn
+  FROM cand JOIN sized USING (user_id)
   UNION ALL
-  SELECT user_id, steps, pos, list_append(ids, item_id), list_append(vecs, embedding),
-         list_append(clusters, cluster), item_id, code, section, sim, cluster
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, {tie}) AS rn
-        FROM (SELECT p.user_id, p.steps, p.pos + 1 AS pos, p.ids, p.vecs, p.clusters,
-                     c.item_id, c.code, c.section, c.sim, c.cluster, c.embedding, {score} AS score
-              FROM picks p JOIN cand c ON c.user_id = p.user_id
-              WHERE p.pos < {k} AND NOT list_contains(p.ids, c.item_id)))
-  WHERE rn = 1)"""
+  SELECT user_id, steps, pos + 1, item_id, sim, cluster, acc, same,
+         row_number() OVER (PARTITION BY user_id ORDER BY score DESC, {tie}) AS rn
+  FROM (SELECT *, {score} AS score
+        FROM (SELECT s.user_id, s.steps, s.pos, s.item_id, s.sim, s.cluster, {grown} AS acc,
+                     s.same + CASE WHEN s.cluster = s.best_cluster THEN 1 ELSE 0 END AS same
+              FROM (SELECT *, arg_min(item_id, rn) {best} AS best_id, arg_min(cluster, rn) {best} AS best_cluster
+                    FROM state) s
+              JOIN unit_items u ON u.item_id = s.item_id JOIN unit_items b ON b.item_id = s.best_id
+              WHERE s.rn > 1 AND s.pos < {k}))),
+picks AS (SELECT p.user_id, p.pos, p.item_id, u.code, u.section, p.sim, p.cluster
+          FROM state p JOIN unit_items u USING (item_id) WHERE p.rn = 1)"""
 
 
 PICKED = f"SELECT {LIST_COLUMNS} FROM picks"
@@ -189,10 +196,10 @@ def _cross_user_item_scores(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {BASE}
 SELECT user_id, item_id, CAST(rn AS INT) AS pos, round(sim, 6) AS sim
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS rn FROM scores)
-WHERE rn <= 100""",
+WHERE rn <= 1000""",
 )
 def _topn_search(spark: SparkSession, sf: str) -> DataFrame:
-    spec = selection.ListSpec("search", k=100, taken="keep")
+    spec = selection.ListSpec("search", k=1000, taken="keep")
     found = search.recommend(history(spark, sf), items(spark, sf), spec)
     return found.select("user_id", "item_id", "pos", F.round("sim", 6).alias("sim"))
 
@@ -219,10 +226,10 @@ def _filter_in_list(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {BASE},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS rn FROM scores)
 SELECT user_id, item_id, code, section FROM ranked r
-ANTI JOIN taken t ON t.user_id = r.user_id AND t.code = r.code WHERE rn <= 100""",
+ANTI JOIN taken t ON t.user_id = r.user_id AND t.code = r.code WHERE rn <= 1000""",
 )
 def _anti_taken_items(spark: SparkSession, sf: str) -> DataFrame:
-    spec = selection.ListSpec("search", k=100, taken="keep")
+    spec = selection.ListSpec("search", k=1000, taken="keep")
     found = search.recommend(history(spark, sf), items(spark, sf), spec)
     return lists.drop_taken(found, history(spark, sf)).select("user_id", "item_id", "code", "section")
 
@@ -256,18 +263,18 @@ def _recommend_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "recommend_mmr",
-    f"WITH RECURSIVE {BASE}, {greedy_sql(UNTAKEN, 10, 0.5, 0.5, penalty='max', by_similarity=False)} {PICKED}",
+    f"WITH RECURSIVE {BASE}, {greedy_sql(UNTAKEN, 30, 0.5, 0.5, penalty='max', by_similarity=False)} {PICKED}",
 )
 def _recommend_mmr(spark: SparkSession, sf: str) -> DataFrame:
-    return shape(search.recommend(history(spark, sf), items(spark, sf), selection.mmr(10, 0.5)))
+    return shape(search.recommend(history(spark, sf), items(spark, sf), selection.mmr(30, 0.5)))
 
 
 @query(
     "recommend_maxsum",
-    f"WITH RECURSIVE {BASE}, {greedy_sql(UNTAKEN, 10, 0.5, 0.5, penalty='mean', by_similarity=False)} {PICKED}",
+    f"WITH RECURSIVE {BASE}, {greedy_sql(UNTAKEN, 30, 0.5, 0.5, penalty='mean', by_similarity=False)} {PICKED}",
 )
 def _recommend_maxsum(spark: SparkSession, sf: str) -> DataFrame:
-    return shape(search.recommend(history(spark, sf), items(spark, sf), selection.maxsum(10, 0.5)))
+    return shape(search.recommend(history(spark, sf), items(spark, sf), selection.maxsum(30, 0.5)))
 
 
 @query(
@@ -282,21 +289,21 @@ def _recommend_xquad(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "recommend_final",
     f"""WITH RECURSIVE {BASE},
-{greedy_sql(top_pool(100, False), 20, 0.6, 0.25, 0.15, cluster="length")} {PICKED_CLUSTER}""",
+{greedy_sql(top_pool(1000, False), 500, 0.6, 0.25, 0.15, cluster="length")} {PICKED_CLUSTER}""",
 )
 def _recommend_final(spark: SparkSession, sf: str) -> DataFrame:
     return shape(
-        search.recommend(history(spark, sf), items(spark, sf), selection.final(20, 100)), "cluster"
+        search.recommend(history(spark, sf), items(spark, sf), selection.final(500, 1000)), "cluster"
     )
 
 
 @query(
     "recommend_final_untaken",
     f"""WITH RECURSIVE {BASE},
-{greedy_sql(top_pool(100, True), 20, 0.4, 0.25, 0.15, cluster="length")} {PICKED_CLUSTER}""",
+{greedy_sql(top_pool(100, True), 60, 0.4, 0.25, 0.15, cluster="length")} {PICKED_CLUSTER}""",
 )
 def _recommend_final_untaken(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.recommend(history(spark, sf), items(spark, sf), selection.final_untaken(20, 100))
+    found = search.recommend(history(spark, sf), items(spark, sf), selection.final_untaken(60, 100))
     return shape(found, "cluster")
 
 
@@ -368,12 +375,12 @@ def _list_prefix_deduped(spark: SparkSession, sf: str) -> DataFrame:
     "dedupe_first_pos_last_value",
     f"""WITH {BASE},
 cut AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS pos
-        FROM ({top_pool(100, False)}))
+        FROM ({top_pool(1000, False)}))
 SELECT user_id, code, CAST(min(pos) AS INT) AS first_pos, max_by(section, pos) AS section
 FROM cut GROUP BY user_id, code""",
 )
 def _dedupe_first_pos_last_value(spark: SparkSession, sf: str) -> DataFrame:
-    spec = selection.ListSpec("search", k=100, taken="keep")
+    spec = selection.ListSpec("search", k=1000, taken="keep")
     return lists.first_pos_last_value(search.recommend(history(spark, sf), items(spark, sf), spec))
 
 
@@ -411,17 +418,17 @@ def _lookup_first_name(spark: SparkSession, sf: str) -> DataFrame:
 # ---- experiment and comparison ------------------------------------------------------
 
 EXPERIMENT = [
-    selection.topk(10),
+    selection.topk(30),
     selection.threshold(0.5),
-    selection.mmr(10, 0.5),
-    selection.maxsum(10, 0.5),
-    selection.xquad(10, 300, 0.6),
+    selection.mmr(30, 0.5),
+    selection.maxsum(30, 0.5),
+    selection.xquad(30, 300, 0.6),
 ]
 
 
 def greedy_block(name: str, *args, **kwargs) -> str:
     text = greedy_sql(*args, **kwargs)
-    for cte in ("cand", "sized", "picks"):
+    for cte in ("cand", "sized", "state", "picks"):
         text = text.replace(f"{cte} ", f"{name}_{cte} ").replace(f"{cte})", f"{name}_{cte})")
     return text
 
@@ -431,11 +438,11 @@ untaken AS ({UNTAKEN}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS rn FROM untaken),
 under AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, item_id) AS rn
           FROM untaken WHERE sim <= 0.5),
-{greedy_block("mmr", "SELECT * FROM untaken", 10, 0.5, 0.5, penalty="max", by_similarity=False)},
-{greedy_block("maxsum", "SELECT * FROM untaken", 10, 0.5, 0.5, by_similarity=False)},
-{greedy_block("xquad", top_pool(300, True), 10, 0.6, cov=0.4)},
+{greedy_block("mmr", "SELECT * FROM untaken", 30, 0.5, 0.5, penalty="max", by_similarity=False)},
+{greedy_block("maxsum", "SELECT * FROM untaken", 30, 0.5, 0.5, by_similarity=False)},
+{greedy_block("xquad", top_pool(300, True), 30, 0.6, cov=0.4)},
 results AS (
-  SELECT 'topk' AS method, user_id, CAST(rn AS INT) AS pos, item_id, code, section, sim FROM ranked WHERE rn <= 10
+  SELECT 'topk' AS method, user_id, CAST(rn AS INT) AS pos, item_id, code, section, sim FROM ranked WHERE rn <= 30
   UNION ALL SELECT 'threshold', user_id, CAST(rn AS INT), item_id, code, section, sim FROM under
   UNION ALL SELECT 'mmr', user_id, pos, item_id, code, section, sim FROM mmr_picks
   UNION ALL SELECT 'maxsum', user_id, pos, item_id, code, section, sim FROM maxsum_picks
