@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import text as tx
+from kindred.functions.encoders import embed_batches
 from kindred.operators import ingest, pairs, profiles, tfidf, two_stage
 from kindred.operators.search import unit_items
 from kindred.plans.bind import (
@@ -326,23 +327,38 @@ def _pair_self_join(spark: SparkSession, sf: str) -> DataFrame:
 # ---- two stages ---------------------------------------------------------------------
 
 
+def vectors_sql(name: str, key: str, source: str) -> str:
+    """The default encoder's vectors, one row per component that is not zero."""
+    return f"""
+{name}_sums AS (SELECT {key}, m % 64 AS dim, sum(CASE WHEN m // 64 % 2 = 1 THEN 1.0 ELSE -1.0 END) AS x
+  FROM (SELECT {key}, CAST('0x' || left(md5(t), 8) AS BIGINT) AS m
+        FROM (SELECT {key}, unnest({tokens_sql()}) AS t FROM {source})) GROUP BY 1, 2),
+{name}_size AS (SELECT {key}, sqrt(sum(x * x)) AS n FROM {name}_sums GROUP BY 1),
+{name} AS (SELECT s.{key}, dim, CAST(CAST(x / n AS FLOAT) AS DOUBLE) AS x
+           FROM {name}_sums s JOIN {name}_size USING ({key}) WHERE x <> 0)"""
+
+
+def text_vectors(texts: DataFrame, key: str) -> DataFrame:
+    """``(key, vec)``: every text encoded; an empty one is the zero vector."""
+    made = embed_batches(texts.select(key, "text"), tx.clean_text(F.col("text")))
+    return made.select(key, F.col("embedding").cast("array<double>").alias("vec"))
+
+
 @query(
     "two_stage_single",
-    f"""WITH {ITEMS},{UNIT_ITEMS},{ASKED_SQL},
-scored AS (SELECT t.query_id, t.doc_id, list_inner_product(q.embedding, d.embedding) AS sim
-  FROM top t JOIN unit_items q ON q.item_id = t.query_id JOIN unit_items d ON d.item_id = t.doc_id WHERE t.rn <= 100)
+    f"""WITH {ASKED_SQL},{vectors_sql("dv", "doc_id", "documents")},
+asked AS (SELECT item_id AS query_id, text FROM benchmark),{vectors_sql("qv", "query_id", "asked")},
+scored AS (SELECT t.query_id, t.doc_id, coalesce(sum(q.x * d.x), 0.0) AS sim
+  FROM top t LEFT JOIN qv q ON q.query_id = t.query_id LEFT JOIN dv d ON d.doc_id = t.doc_id AND d.dim = q.dim
+  WHERE t.rn <= 100 GROUP BY ALL)
 SELECT query_id, doc_id, CAST(rn AS INT) AS pos, round(sim, 6) AS sim
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rn FROM scored)
 WHERE rn <= 10""",
 )
 def _two_stage_single(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark texts as query documents; the vector of an id serves both sides."""
-    vectors = unit_items(items(spark, sf)).select("item_id", F.col("embedding").alias("vec"))
-    found = two_stage.two_stage(
-        documents(spark, sf), benchmark_queries(spark, sf),
-        vectors.withColumnRenamed("item_id", "query_id"),
-        vectors.withColumnRenamed("item_id", "doc_id"),
-    )
+    """Benchmark texts as query documents; both sides are encoded from their text."""
+    docs, asked = documents(spark, sf), benchmark_queries(spark, sf)
+    found = two_stage.two_stage(docs, asked, text_vectors(asked, "query_id"), text_vectors(docs, "doc_id"))
     return found.select("query_id", "doc_id", "pos", F.round("sim", 6).alias("sim"))
 
 
@@ -413,20 +429,19 @@ def _profile_text_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "two_stage_profile",
-    f"""WITH {PROFILE_SQL},
-scored AS (SELECT t.user_id, t.doc_id, list_inner_product(p.vec, d.embedding) AS sim
-  FROM top t JOIN profiles p USING (user_id) JOIN unit_items d ON d.item_id = t.doc_id WHERE t.rn <= 100)
+    f"""WITH {PROFILE_SQL},{vectors_sql("dv", "doc_id", "documents")},{vectors_sql("qv", "doc_id", "texts")},
+scored AS (SELECT t.user_id, t.doc_id, coalesce(sum(q.x * d.x), 0.0) AS sim
+  FROM top t LEFT JOIN qv q ON q.doc_id = t.user_id LEFT JOIN dv d ON d.doc_id = t.doc_id AND d.dim = q.dim
+  WHERE t.rn <= 100 GROUP BY ALL)
 SELECT user_id, doc_id, CAST(rn AS INT) AS pos, round(sim, 6) AS sim
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 12) DESC, doc_id) AS rn
       FROM scored WHERE sim < 0.999999) WHERE rn <= 10""",
 )
 def _two_stage_profile(spark: SparkSession, sf: str) -> DataFrame:
-    stock = items(spark, sf)
-    vectors = unit_items(stock).select(F.col("item_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    found = two_stage.two_stage_profile(
-        documents(spark, sf), taken_docs(spark, sf),
-        profiles.user_profiles(history(spark, sf), stock), vectors,
-    )
+    """A user's vector is that of their joined text."""
+    docs, taken = documents(spark, sf), taken_docs(spark, sf)
+    mine = text_vectors(two_stage.user_text(taken, docs), "user_id")
+    found = two_stage.two_stage_profile(docs, taken, mine, text_vectors(docs, "doc_id"))
     return found.select(
         F.col("query_id").alias("user_id"), "doc_id", "pos", F.round("sim", 6).alias("sim")
     )

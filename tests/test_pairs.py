@@ -105,7 +105,7 @@ def test_profile_topn_equals_refitting(spark):
     """The corrected fit of every user equals a fit on that user's own corpus."""
     texts = corpus(40, seed=9)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    taken = {1: [0, 3, 5], 2: list(range(0, 36, 2)), 3: [39]}
+    taken = {1: [0, 3, 5], 2: list(range(0, 36, 2)), 3: [39], 4: list(range(38))}  # the last took 95 %
     pairs_taken = [(u, d) for u, ds in taken.items() for d in ds]
     frame = spark.createDataFrame(pairs_taken, "user_id bigint, doc_id bigint")
     got = two_stage.profile_topn(docs, frame, 15).collect()
@@ -123,3 +123,13 @@ def test_histogram_numeric(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
     bins = {r["bin"]: r["n"] for r in pairs.histogram(df, "x", 10).collect()}
     assert bins == {i: 100 for i in range(10)}
+
+
+def test_a_candidate_without_a_vector_stays(spark):
+    found = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10)], "query_id bigint, doc_id bigint")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vec array<double>")
+    known = spark.createDataFrame([(10, [0.6, 0.8]), (12, [-1.0, 0.0])], "doc_id bigint, vec array<double>")
+    got = two_stage.rerank_dense(found, asked, known, 3)
+    assert sorted((r["query_id"], r["pos"], r["doc_id"], r["sim"]) for r in got.collect()) == [
+        (1, 1, 10, 0.6), (1, 2, 11, 0.0), (1, 3, 12, -1.0), (2, 1, 10, 0.0),
+    ]
