@@ -18,12 +18,6 @@ EDU_STOPWORDS = [
 # How often a field is repeated in the weighted text.
 FIELD_WEIGHTS = {"교과목명": 3.0, "강의목표": 1.0, "강의개요": 1.0}
 
-# Fields kept for the embedding text.
-EMBEDDING_FIELDS = [
-    "교과목명", "교과목영문명", "강의목표", "강의개요", "강의진행방식", "수업 방법", "강의시간표",
-    "수강시유의사항", "부교재및참고도서", "전공능력 및\n핵심역량", "강좌평가방법", "주차별 강의진행계획서",
-]
-
 # Defaults of blank fields.
 FIELD_DEFAULTS = {
     "강의시간표": "웹강의",
@@ -143,23 +137,13 @@ def parse_credit(text: Column) -> Column:
     return F.coalesce(whole, first.try_cast("double"), F.lit(0.0))
 
 
-# Labels in the week column that are no week.
-NOT_WEEKS = ["강의내용", "시험과제", "비고", "보강계획", "휴업일"]
+# A number, alone or as a week; with the long ending the whole is shorter than a date.
+WEEK_LABEL = r"^(?=\d+주?$|.{1,9}$)(\d+)\s*(?:주차?)?$"
 
 
 def week_label(text: Column) -> Column:
     """``3``, ``3주`` and ``3주차`` to ``3주차``; dates and other labels to null."""
-    t = F.trim(text)
-    bad = t.isin(NOT_WEEKS) | t.rlike(r"^20\d{6}주차$") | (F.contains(t, F.lit("주차")) & (F.length(t) >= 10))
-    digits = t.rlike(r"^\d+$")
-    short, long = F.endswith(t, F.lit("주")), F.endswith(t, F.lit("주차"))
-    number = F.trim(F.replace(F.replace(t, F.lit("주차"), F.lit("")), F.lit("주"), F.lit("")))
-    return F.when(
-        ~bad,
-        F.when(digits, F.concat(t, F.lit("주차")))
-        .when(short & number.rlike(r"^\d+$"), F.concat(t, F.lit("차")))
-        .when(long & number.rlike(r"^\d+$"), t),
-    )
+    return F.concat(F.nullif(F.regexp_extract(F.trim(text), WEEK_LABEL, 1), F.lit("")), F.lit("주차"))
 
 
 def classify_header(header: Column, rules: Sequence[tuple[Sequence[str], str]] = WEEK_HEADERS) -> Column:
@@ -182,13 +166,6 @@ def named_number(text: Column, name: str) -> Column:
     return F.regexp_extract(text, rf"{name}[^0-9]*([0-9]+)", 1).try_cast("int")
 
 
-def all_numbers(text: Column, pattern: str) -> Column:
-    """Every match of the pattern's group as an integer, in order."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: x.try_cast("bigint")
-    )
-
-
 def label_preview(text: Column, words: int = 2) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda t: t != ""), 1, words), " ")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.functions.vectors import as_double, norm, parse_literal
+from kindred.functions.vectors import as_double, norm
 
 
 def scan_json_docs(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
@@ -91,8 +91,3 @@ def read_vector_table(spark: SparkSession, path: str) -> DataFrame:
     """Vectors and keys in one row, so that they cannot get out of step."""
     schema = "item_id bigint, code string, section string, embedding array<float>, norm double"
     return spark.read.schema(schema).parquet(path)
-
-
-def parse_embedding_csv(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """Text literals of vectors to arrays; rows whose literal is no list get null."""
-    return df.withColumn(column, parse_literal(F.col(column)))
