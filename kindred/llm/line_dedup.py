@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import WORD_GAPS, let
 from kindred.session import broadcast_if_fits, cut_lineage
 
-COUNTED = "etaonirs"
+COUNTED = "etaonirshdlc"
 LAST = (1 << 63) - 1
 _KEY_BYTES = 64
 
@@ -33,76 +33,78 @@ class Near:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``place`` (id, row mark, line number), ``line`` (trimmed) and its digest, for lines that hold something."""
-    row = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
-        F.xxhash64("doc_id", "text").alias("mark"),
-        F.posexplode(F.split("text", "\n")).alias("at", "raw"),
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("doc_id", "text").alias("mark"), "text"
     )
     return (
-        row.withColumn("line", F.trim("raw", F.lit(WORD_GAPS)))
+        rows.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+        .withColumn("line", F.trim("raw", F.lit(WORD_GAPS)))
         .where(F.col("line") != "")
         .select(F.struct("id", "mark", "at").alias("place"), "line", F.unhex(F.md5("line")).alias("digest"))
     )
 
 
 def _counts(line: Column) -> Column:
-    """Occurrences of some frequent letters modulo 256, a byte each."""
+    """Occurrences of some frequent letters modulo 32, five bits each."""
     total = F.lit(0).cast("long")
     for i, letter in enumerate(COUNTED):
-        n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(255)), 8 * i))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(31)), 5 * i))
     return total
 
 
 def _count_gap(a: Column, b: Column) -> Column:
-    """An edit changes at most two letter counts by one each, so this is at most twice the distance."""
+    """Difference of packed counts; an edit changes at most two letter counts by one each."""
     total = F.lit(0)
     for i in range(len(COUNTED)):
-        byte = [F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)).cast("int") for x in (a, b)]
-        gap = F.abs(byte[0] - byte[1])
-        total = total + F.least(gap, F.lit(256) - gap)
+        part = [F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31)).cast("int") for x in (a, b)]
+        gap = F.abs(part[0] - part[1])
+        total = total + F.least(gap, F.lit(32) - gap)
     return total
 
 
-def _segment(length: Column, number: int, segments: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment: the last ones are one longer where it does not come out even."""
-    short = F.floor(length / segments).cast("int")
-    longer = length - short * segments
-    before = F.greatest(F.lit(0), longer - (segments - number))
-    return short * number + before, short + (F.lit(number) >= segments - longer).cast("int")
+def windows(edits: int) -> list[tuple[int, int, int]]:
+    """``(less, segment, shift)`` of the substrings to look up, the line's own segments first.
 
-
-def _key(length: Column, number: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), part)
-
-
-def index_keys(n: Column, line: Column, near: Near) -> Column:
-    """A key for each of the line's own segments."""
+    For a line that is ``less`` characters shorter: if segment i is the first one left unchanged, i
+    edits at most lie before it and edits - i at most behind, so its place shifts by at most i, and
+    by the lengths' difference less at most edits - i: the multi-match-aware window.
+    """
+    found = [
+        (less, i, shift)
+        for less in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
+    return sorted(found, key=lambda w: (w[0] or w[2]) != 0)
+
+
+def with_keys(sized: DataFrame, near: Near, *keep: str) -> DataFrame:
+    """``sized`` (``line``, its length ``n``) with ``keys``: one per window, null outside the line.
+
+    A key is made of the length and number of the segment that the substring may equal, and the
+    substring. The first ``edits + 1`` are those of the line's own segments, under which it is
+    indexed. Of the segments of a length the last ones are one longer where it does not come out
+    even; that arithmetic is done once per length, so that the lambda only cuts and hashes.
+    """
     parts = near.edits + 1
-    keys = []
-    for i in range(parts):
-        start, size = _segment(n, i, parts)
-        keys.append(_key(n, i, F.substr(line, start + 1, size)))
-    return F.array(*keys)
-
+    lengths = {}
+    for less in range(parts):
+        lengths[f"short{less}"] = F.call_function("div", F.col("n") - less, F.lit(parts)).cast("int")
+        lengths[f"more{less}"] = (F.col("n") - less) % parts
+    spots = []
+    for less, i, shift in windows(near.edits):
+        short, more = F.col(f"short{less}"), F.col(f"more{less}")
+        at = short * i + F.greatest(F.lit(0), more - (parts - i)) + shift
+        size = short + (more >= parts - i).cast("int")
+        spots.append(F.struct((F.col("n") - less).alias("n"), F.lit(i).alias("i"), at.alias("at"), size.alias("size")))
+    cut = sized.withColumns(lengths).select(*keep, "line", "n", F.array(*spots).alias("spots"))
 
-def probe_keys(n: Column, line: Column, near: Near) -> Column:
-    """Keys of all substrings that may equal a segment of a line of the same or a smaller length.
+    def key(spot: Column) -> Column:
+        inside = (spot["at"] >= 0) & (spot["at"] + spot["size"] <= F.col("n"))
+        return F.when(inside, F.xxhash64(spot["n"], spot["i"], F.substr("line", spot["at"] + 1, spot["size"])))
 
-    If segment i is the first one left unchanged, i edits at most lie before it and edits - i at
-    most behind, so its place shifts by at most i, and by the lengths' difference less at most
-    edits - i: the multi-match-aware window.
-    """
-    tau, keys = near.edits, []
-    for less in range(tau + 1):
-        other = n - less
-        for i in range(tau + 1):
-            start, size = _segment(other, i, tau + 1)
-            for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                at = start + shift
-                inside = (at >= 0) & (at + size <= n)
-                keys.append(F.when(inside, _key(other, i, F.substr(line, at + 1, size))))
-    return F.array_compact(F.array(*keys))
+    return cut.select(*keep, F.transform("spots", key).alias("keys"))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -154,18 +156,21 @@ def within(a: Column, b: Column, edits: int) -> Column:
 def near_links(lines: DataFrame, near: Near) -> DataFrame:
     """Digests ``a, b`` of different lines within the threshold, each pair once."""
     n = F.length("line")
+    # A copy of a line adds nothing: one row per line, before its keys are dealt out.
     sized = lines.where(n >= near.least_chars).select(
         "line", n.cast("int").alias("n"), F.xxhash64("line").alias("id"), _counts(F.col("line")).alias("counts")
     )
-    index = sized.select(F.explode(index_keys(F.col("n"), F.col("line"), near)).alias("key"), "id", "counts").distinct()
-    probe = sized.select(F.explode(probe_keys(F.col("n"), F.col("line"), near)).alias("key"), "id", "counts").distinct()
+    keyed = with_keys(sized, near, "id", "counts").groupBy("id").agg(F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+    places = windows(near.edits)
+    same = F.array(*[F.lit(less == 0) for less, _, _ in places])  # the window looks for lines of the same length
+    probe = keyed.select("id", "counts", F.posexplode("keys").alias("at", "key")).where(F.col("key").isNotNull())
+    probe = probe.select("id", "counts", "key", F.get(same, F.col("at")).alias("same"))
+    index = keyed.select("id", "counts", F.explode(F.slice("keys", 1, near.edits + 1)).alias("key"))
     i, p = index.alias("i"), probe.alias("p")
-    met = i.join(
-        p,
-        (F.col("i.key") == F.col("p.key"))
-        & (F.col("i.id") != F.col("p.id"))
-        & (_count_gap(F.col("i.counts"), F.col("p.counts")) <= 2 * near.edits),
-    )
+    # Lines of the same length would meet both ways.
+    once = F.when(F.col("p.same"), F.col("i.id") < F.col("p.id")).otherwise(F.col("i.id") != F.col("p.id"))
+    near_enough = _count_gap(F.col("i.counts"), F.col("p.counts")) <= 2 * near.edits
+    met = i.join(p, (F.col("i.key") == F.col("p.key")) & once & near_enough)
     pairs = cut_lineage(met.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = (
