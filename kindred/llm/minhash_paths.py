@@ -40,7 +40,7 @@ class Join:
     percent: int = 85
     hashes: int = 64
     recall: float = 0.99999
-    small: int = 512
+    small: int = 2048
     draws: int = 2
     levels: int = 2
     block_sets: int = 256
