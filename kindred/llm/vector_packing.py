@@ -85,7 +85,7 @@ class Limits:
     """What a sequence may hold. A sequence is padded to ``tokens`` unless its length is a power of two."""
 
     tokens: int = 2048
-    segments: int = 512
+    segments: int = 1024
     loss: int = 2048
 
 
