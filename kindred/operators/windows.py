@@ -64,6 +64,28 @@ def next_row(
     )
 
 
+WEEKS = [str(n) for n in range(1, 17)]
+
+
+def week_pairs(df: DataFrame, key: str, order: str, chunk: str, name: str = "name", value: str = "value") -> DataFrame:
+    """``(key, name, topic, value)``: a numbered row and the row behind it become one week.
+
+    A row named 1 to 16 whose next row's name is no number gives that week with the name as its
+    topic and the value as its form; both rows go.  All other rows stay, without a topic.
+    """
+    rows = df.select(key, order, chunk, name, value)
+    paired = next_row(rows, [key], [order], chunk, [order, name, value], "_next_").where(
+        F.col(name).isin(WEEKS) & (F.col(f"_next_{name}") != "") & ~F.col(f"_next_{name}").rlike(r"^\d+$")
+    )
+    weeks = paired.select(
+        key, F.concat(name, F.lit("주차")).alias("name"), F.col(f"_next_{name}").alias("topic"),
+        F.coalesce(f"_next_{value}", F.lit("")).alias("value"),
+    )
+    used = paired.select(key, F.explode(F.array(order, f"_next_{order}")).alias(order))
+    rest = rows.join(used, [key, order], "left_anti")
+    return weeks.unionByName(rest.select(key, F.col(name).alias("name"), F.lit(None).cast("string").alias("topic"), F.col(value).alias("value")))
+
+
 def rows_before_marker(df: DataFrame, keys: list[str], order: str, marker: Column) -> DataFrame:
     """Rows of each key before its first marker row; all rows where there is none."""
     first = df.where(marker).groupBy(*keys).agg(F.min(order).alias("_marker"))

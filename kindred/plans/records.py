@@ -805,6 +805,29 @@ def _next_key_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return paired.select("event_id", "user_id", "kind", "next_kind", "next_id")
 
 
+@query(
+    "week_pairs",
+    """WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN CAST(turn + 1 AS VARCHAR) ELSE role || turn END AS name,
+             CAST(length(text) AS VARCHAR) AS value FROM conversations),
+n AS (SELECT *, lead(name) OVER w AS next_name, lead(value) OVER w AS next_value, lead(turn) OVER w AS next_turn
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT * FROM n WHERE try_cast(name AS INT) BETWEEN 1 AND 16 AND try_cast(next_name AS INT) IS NULL AND next_name <> '')
+SELECT conv_id, name || '주차' AS name, next_name AS topic, next_value AS value FROM p
+UNION ALL SELECT conv_id, name, NULL, value FROM r
+ANTI JOIN (SELECT conv_id, turn FROM p UNION ALL SELECT conv_id, next_turn FROM p) u
+  ON u.conv_id = r.conv_id AND u.turn = r.turn""",
+)
+def _week_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as the rows of a record: two of three named by a number, the third by its role."""
+    turn = F.col("turn")
+    named = F.when(turn % 3 != 2, (turn + 1).cast("string")).otherwise(F.concat("role", turn.cast("string")))
+    rows = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.floor(turn / 1000).alias("chunk"), named.alias("name"),
+        F.length("text").cast("string").alias("value"),
+    )
+    return windows.week_pairs(rows, "conv_id", "turn", "chunk")
+
+
 @query(
     "collision_suffix",
     """SELECT doc_id, source || CASE WHEN rn > 1 THEN '-' || (rn - 1) ELSE '' END AS unique_name FROM (

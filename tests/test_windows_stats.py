@@ -64,3 +64,14 @@ def test_pending(spark):
 
     assert left(keys()) == {"b", "c"}
     assert left(keys("c", "a")) == {"c"}
+
+
+def test_week_pairs(spark):
+    names = ["과목", "1", "소개", "2", "3", "실습", "17", "끝", "4"]
+    rows = [(1, i, i // 4, n, f"v{i}") for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "k int, i int, c int, name string, value string")
+    got = {(r["name"], r["topic"], r["value"]) for r in windows.week_pairs(df, "k", "i", "c").collect()}
+    assert got == {
+        ("1주차", "소개", "v2"), ("3주차", "실습", "v5"), ("과목", None, "v0"), ("2", None, "v3"),
+        ("17", None, "v6"), ("끝", None, "v7"), ("4", None, "v8"),
+    }
