@@ -30,6 +30,8 @@ HEADLINE = [
     "tfidf_cosine_pairs",
     "two_stage_single",
     "hybrid_similarity",
+    "pair_self_join",
+    "recommend_final_clustered",
     "cosine_pairs_dense",
     "histogram_numeric",
     "ffill_group_marker",
