@@ -55,9 +55,10 @@ def _covered(hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every row.
+    """``doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` of every row.
 
-    ``docs`` has ``doc_id``, ``text`` and ``host``. A null or empty text has zero everywhere.
+    ``docs`` has ``doc_id``, ``text`` and ``host``. Lines without a word do not count. A null or
+    empty text has zero everywhere.
     """
     words = docs.select("doc_id", "host", F.coalesce("text", F.lit("")).alias("text"), _words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(WORD_GAPS)) != "")
@@ -67,7 +68,10 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size("words").alias("n_words"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).alias("n_symbols"),
-        let(lines, lambda kept: F.size(kept) - F.size(F.array_distinct(kept))).alias("n_dup_lines"),
+        let(
+            lines,
+            lambda kept: F.struct(F.size(kept).alias("all"), (F.size(kept) - F.size(F.array_distinct(kept))).alias("dup")),
+        ).alias("lines"),
         let(
             F.col("words"),
             lambda w: F.transform(
@@ -80,7 +84,8 @@ def measure(docs: DataFrame) -> DataFrame:
         _covered(F.col("windows"))
     )
     return hashed.select(
-        "doc_id", "host", *[F.col(c).cast("long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")],
+        "doc_id", "host", *[F.col(c).cast("long") for c in ("n_words", "word_chars", "n_symbols")],
+        F.col("lines.all").cast("long").alias("n_lines"), F.col("lines.dup").cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
     )
 
@@ -92,7 +97,7 @@ def fail(measured: DataFrame, rules: Rules) -> DataFrame:
             "fails_short": F.col("n_words") < rules.least_words,
             "fails_repeats": 100 * F.col("n_repeat_words") > rules.most_repeat_pct * F.col("n_words"),
             "fails_symbols": F.col("n_symbols") > rules.most_symbols_per_word * F.col("n_words"),
-            "fails_lines": 100 * F.col("n_dup_lines") > rules.most_dup_lines_pct * F.greatest(F.col("n_words"), F.lit(1)),
+            "fails_lines": 100 * F.col("n_dup_lines") > rules.most_dup_lines_pct * F.col("n_lines"),
         }
     )
 

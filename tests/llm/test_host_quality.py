@@ -44,6 +44,20 @@ def test_small_hosts_are_shrunk(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 40
 
 
+def test_repeated_lines_make_a_host_strict(spark):
+    """Duplicate lines count against lines: a host that fails only this rule loses those documents."""
+    lines = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4)]
+    good, again = "\n".join(lines), "\nmore\n".join([*lines, " \t", ""])  # 4 of 9 lines are the fifth one again
+    counts = [("bad", 40, 50), ("one", 1, 1), (None, 0, 30)] + [(f"h{i}", 1, 20) for i in range(30)]
+    rows = [(i, again if i < bad else good, host) for host, bad, n in counts for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    got = judge(docs).collect()
+    assert {(r.n_lines, r.n_dup_lines, r.fails_lines) for r in got} == {(4, 0, False), (9, 4, True)}
+    assert {r.host for r in got if r.strict} == {"bad"}
+    assert sum(r.base_failed for r in got) == 0 and sum(not r.kept for r in got) == 40
+    assert keep(docs, "host").count() == len(rows) - 40
+
+
 def test_keep_leaves_columns_alone(awkward_docs, no_docs):
     kept = keep(awkward_docs, "source", Rules(least_words=1))
     assert kept.dtypes == awkward_docs.dtypes
