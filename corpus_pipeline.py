@@ -37,9 +37,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, at a similarity of 0.8 of five-word shingles."""
+    """One row of each group of near copies, at a similarity of 0.8 of five-word shingles."""
     ship_package(spark)
-    return minhash_paths.keep_one(docs, minhash_paths.Join(percent=80))
+    return minhash_paths.keep_one(docs, minhash_paths.Join(percent=80), repeats=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

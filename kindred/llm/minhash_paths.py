@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import map_groups
@@ -28,8 +28,10 @@ from kindred.llm.components import components
 from kindred.session import broadcast_if_fits, cut_lineage, spread_width
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-_MEMBER_BYTES = 64
-_SKETCH = "doc_id long, n_shingles long, vid binary, sketch binary"
+_MEMBER_BYTES = 80
+_ROW_BYTES = 24
+_SKETCH = "doc_id long, mark long, n_shingles long, vid binary, sketch binary"
+LAST = (1 << 63) - 1  # the key of null ids: after all others
 
 
 @dataclass(frozen=True)
@@ -87,21 +89,30 @@ def set_id(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, join: Join) -> DataFrame:
-    """``doc_id``, set size, set id and sketch of every row; without words the last two are null."""
-    target = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("vid", pa.binary()), ("sketch", pa.binary())])
+    """``doc_id``, mark of the text, set size, set id and sketch of every row; without words the last two are null."""
+    fields = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("vid", pa.binary()), ("sketch", pa.binary())]
+    target = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ids, marks = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 h = shingles(text.as_py(), join.words)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
                 marks.append(minima(h, join) if len(h) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(marks, pa.binary())]
+            columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(docs).alias("mark"), "text").mapInArrow(run, _SKETCH)
+
+
+def id_key(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+
+
+def text_mark(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"])
 
 
 def spanning(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -177,16 +188,18 @@ def candidate_links(vertices: DataFrame, join: Join) -> DataFrame:
     return map_groups(met.join(marks, "vid"), ["node", "p", "q"], compare, "a binary, b binary")
 
 
-def confirmed_links(docs: DataFrame, members: DataFrame, join: Join) -> DataFrame:
-    """Links on full sets that connect all linked members of each cluster.
+def confirmed_links(docs: DataFrame, members: DataFrame, join: Join, repeated: bool = False) -> DataFrame:
+    """Links on full sets that connect all linked members of each cluster; ``repeated``: a member may be many rows.
 
-    ``members``: ``doc_id, vid, cluster, n_shingles``. Only members' texts are read into sets.
+    ``members``: ``id, mark, vid, cluster, n_shingles``. Only members' texts are read into sets.
     """
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / join.block_sets), F.ceil(F.col("s") / join.block_shingles))
     blocked = members.join(sizes, "cluster").withColumn("blocks", F.when(F.col("n") <= 2, 1).otherwise(blocks))
-    wanted = broadcast_if_fits(blocked.select("doc_id", "vid", "cluster", "blocks"), _MEMBER_BYTES)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    wanted = broadcast_if_fits(blocked.select("id", "mark", "vid", "cluster", "blocks"), _MEMBER_BYTES)
+    texts = docs.select(id_key(docs).alias("id"), text_mark(docs).alias("mark"), "text").join(wanted, ["id", "mark"])
+    if repeated:
+        texts = texts.dropDuplicates(["vid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,6 +243,32 @@ def confirmed_links(docs: DataFrame, members: DataFrame, join: Join) -> DataFram
     return map_groups(met, ["cluster", "p", "q"], compare, "a binary, b binary")
 
 
+def labels_of(docs: DataFrame, every: DataFrame, join: Join, null_ids: bool, repeated: bool = False) -> DataFrame:
+    """``vid, first`` of the sets that several rows share or that are linked.
+
+    ``first`` (``id, mark``) stands for the component: its smallest id, and the smallest mark of a
+    text among the rows with that id. ``null_ids``: sets that only null ids have take part as well.
+    """
+    vertices = (
+        every.where(F.col("vid").isNotNull())
+        .groupBy("vid")
+        .agg(
+            F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "mark")).alias("own"), F.min("doc_id").alias("doc_id"),
+            F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"),
+        )
+    )
+    vertices = cut_lineage(vertices if null_ids else vertices.where(F.col("doc_id").isNotNull()))
+    clusters = components(candidate_links(vertices, join))
+    members = cut_lineage(
+        vertices.join(clusters.withColumnRenamed("v", "vid"), "vid").select("own.*", "vid", F.col("root").alias("cluster"), "n_shingles")
+    )
+    linked = components(confirmed_links(docs, members, join, repeated)).withColumnRenamed("v", "vid")
+    joined = vertices.where("copies > 1").select("vid").unionByName(linked.select("vid")).distinct()
+    labelled = vertices.select("vid", "own").join(joined, "vid").join(linked, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    least = labelled.groupBy("root").agg(F.min("own").alias("first"))
+    return cut_lineage(labelled.join(least, "root").select("vid", "first"))
+
+
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -240,22 +279,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     no rows give no rows.
     """
     every = cut_lineage(sketches(docs, join))
-    vertices = cut_lineage(
-        every.where(F.col("vid").isNotNull())
-        .groupBy("vid")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-        .where(F.col("doc_id").isNotNull())
-    )
-    clusters = components(candidate_links(vertices, join))
-    members = cut_lineage(
-        vertices.join(clusters.withColumnRenamed("v", "vid"), "vid").select("doc_id", "vid", F.col("root").alias("cluster"), "n_shingles")
-    )
-    linked = components(confirmed_links(docs, members, join)).withColumnRenamed("v", "vid")
-    joined = vertices.where("copies > 1").select("vid").unionByName(linked.select("vid")).distinct()
-    labelled = vertices.select("vid", "doc_id").join(joined, "vid").join(linked, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = cut_lineage(labelled.join(least, "root").select("vid", "component_id"))
-    shown = every.drop("sketch").join(broadcast_if_fits(labels, _MEMBER_BYTES), "vid", "left")
+    labels = labels_of(docs, every, join, null_ids=False).select("vid", F.col("first.id").alias("component_id"))
+    shown = every.drop("sketch", "mark").join(broadcast_if_fits(labels, _MEMBER_BYTES), "vid", "left")
     component = F.coalesce("component_id", "doc_id")
     return shown.select(
         "doc_id", "n_shingles", component.alias("component_id"),
@@ -263,8 +288,37 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component, with their columns as they are."""
-    gone = near_duplicates(docs, join).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = cut_lineage(gone.select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(broadcast_if_fits(gone, 16), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+def keep_one(docs: DataFrame, join: Join = Join(), repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose text stands for its component, with their columns as they are.
+
+    Rows are told apart by id and text. A null id comes after all others, is linked like any other,
+    and one row of a component stays. Rows that repeat an id and its text are one document and stay
+    together; without ``repeats`` one of them stays, the one with the smallest hash of its columns.
+    Texts without words stay.
+    """
+    every = cut_lineage(sketches(docs, join))
+    rows = every.where(F.col("vid").isNotNull()).select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "mark", "vid")
+    again = cut_lineage(rows.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("id", "mark"))
+    repeated = not again.isEmpty()
+    labels = labels_of(docs, every, join, null_ids=True, repeated=repeated)
+    shown = rows.join(broadcast_if_fits(labels, _MEMBER_BYTES), "vid")
+    stands = (F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    gone = cut_lineage(shown.where(~stands).select("id", "mark").distinct())
+
+    def meets(side: DataFrame) -> Column:
+        return (id_key(docs) == side["id"]) & (text_mark(docs) == side["mark"])
+
+    kept = docs.join(broadcast_if_fits(gone, _ROW_BYTES), meets(gone), "left_anti")
+    if not repeated:
+        return kept
+    once = again.join(gone, ["id", "mark"], "left_anti")
+    once = cut_lineage(once.where(F.col("id") == LAST) if repeats else once)
+    side = broadcast_if_fits(once, _ROW_BYTES)
+    columns = [docs[c] for c in docs.columns]
+    one = (
+        docs.join(side, meets(once), "left_semi")
+        .select(id_key(docs).alias("id"), text_mark(docs).alias("mark"), F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("place"))
+        .groupBy("id", "mark")
+        .agg(F.min_by("row", "place").alias("row"))
+    )
+    return kept.join(side, meets(once), "left_anti").unionByName(one.select("row.*"))

@@ -77,6 +77,37 @@ def test_awkward(spark, awkward_docs, no_docs):
     assert kept.dtypes == awkward_docs.dtypes and kept.count() == len(texts) - 1
 
 
+def test_one_row_of_each_component(spark):
+    """Null ids, repeated rows, and an id that stands for two texts: one row per component, no other text is lost."""
+    a, b, c, d, e, f, g = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdefg")
+    rows = [
+        (3, a, "x"), (5, a, "x"), (5, b, "x"),  # id 5: a copy of 3, and a text of its own
+        (None, c, "x"), (None, c, "y"), (None, c, "y"), (None, c + " more", "x"),  # null ids only
+        (None, d, "x"), (8, d + " more", "x"),  # a null id near another document
+        (9, e, "x"), (9, e, "x"), (9, e, "y"), (10, e.upper(), "x"),  # repeated rows
+        (None, f, "x"), (11, g, "x"), (12, "", "x"), (None, None, "x"), (None, None, "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+
+    def texts(kept):
+        return sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+
+    both = [(3, a), (5, b), (8, d + " more"), (9, e), (None, f), (11, g), (12, ""), (None, None), (None, None)]
+    one, more = texts(keep_one(df, repeats=False)), texts(keep_one(df))
+    null_c = [r for r in one if r[1] and r[1].startswith(c)]
+    assert len(null_c) == 1 and null_c[0][0] is None
+    assert one == sorted([*both, *null_c], key=str)
+    assert more == sorted([*both, *null_c, (9, e), (9, e)], key=str)
+    kept = keep_one(df, repeats=False)
+    assert kept.dtypes == df.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, keep_one(df.repartition(2), repeats=False).collect()))
+
+
+def test_awkward_rows_once(spark, awkward_docs, no_docs):
+    assert keep_one(awkward_docs, repeats=False).dtypes == awkward_docs.dtypes
+    assert keep_one(awkward_docs, repeats=False).count() == awkward_docs.count() - 2  # a copy, and a row that is there twice
+    assert keep_one(no_docs, repeats=False).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, rng.randrange(101, 160)) for _ in range(50)] + [(7, 7), (None, 1), (300, 301)]
