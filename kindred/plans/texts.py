@@ -19,6 +19,7 @@ from kindred.plans.bind import (
     table,
 )
 from kindred.plans.registry import query
+from kindred.session import cut_lineage
 
 STOP = "[" + ", ".join(f"'{w}'" for w in tx.EDU_STOPWORDS) + "]"
 
@@ -315,8 +316,11 @@ SELECT lang_a AS lang, id_a, id_b, round(tfidf, 6) AS tfidf, round(dense, 6) AS
 FROM blend WHERE hybrid >= 0.15 AND lang_a = lang_b""",
 )
 def _pair_self_join(spark: SparkSession, sf: str) -> DataFrame:
+    return same_language(spark, sf, hybrid(spark, sf, 0.15))
+
+
+def same_language(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
     lang = table(spark, sf, "documents").select("doc_id", "lang")
-    found = hybrid(spark, sf, 0.15)
     return (
         found.join(lang.toDF("id_a", "lang"), "id_a")
         .join(lang.toDF("id_b", "lang"), ["id_b", "lang"])
@@ -344,6 +348,45 @@ def text_vectors(texts: DataFrame, key: str) -> DataFrame:
     return made.select(key, F.col("embedding").cast("array<double>").alias("vec"))
 
 
+# The same over all documents, with or without a row in the embeddings table: vectors are encoded from the texts.
+ENCODED_SQL = f"""{tfidf_sql()},{vectors_sql("dv", "doc_id", "documents")},
+text_sims AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, sum(a.weight * b.weight) AS tfidf
+  FROM tfidf a JOIN tfidf b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2),
+dv_unit AS (SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM dv),
+dense_sims AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, sum(a.x * b.x) AS dense
+  FROM dv_unit a JOIN dv_unit b ON a.dim = b.dim AND a.doc_id < b.doc_id GROUP BY 1, 2),
+blend AS (
+  SELECT id_a, id_b, da.lang AS lang_a, db.lang AS lang_b, coalesce(tfidf, 0) AS tfidf, coalesce(dense, 0) AS dense,
+         0.65 * coalesce(dense, 0) + 0.35 * coalesce(tfidf, 0) AS hybrid
+  FROM dense_sims FULL JOIN text_sims USING (id_a, id_b)
+  JOIN documents da ON da.doc_id = id_a JOIN documents db ON db.doc_id = id_b)"""
+
+
+def hybrid_encoded(spark: SparkSession, sf: str, at_least: float) -> DataFrame:
+    docs = documents(spark, sf)
+    vectors = text_vectors(docs, "doc_id").toDF("item_id", "embedding")
+    stock = cut_lineage(vectors.withColumns({"code": F.lit(""), "section": F.lit("")}))
+    return pairs.hybrid_pairs(tfidf.tfidf(docs), stock, at_least)
+
+
+@query(
+    "hybrid_similarity_all",
+    f"WITH {ENCODED_SQL} SELECT id_a, id_b, round(hybrid, 6) AS hybrid FROM blend WHERE hybrid >= 0.2",
+)
+def _hybrid_similarity_all(spark: SparkSession, sf: str) -> DataFrame:
+    return hybrid_encoded(spark, sf, 0.2).select("id_a", "id_b", F.round("hybrid", 6).alias("hybrid"))
+
+
+@query(
+    "pair_self_join_all",
+    f"""WITH {ENCODED_SQL}
+SELECT lang_a AS lang, id_a, id_b, round(tfidf, 6) AS tfidf, round(dense, 6) AS dense, round(hybrid, 6) AS hybrid
+FROM blend WHERE hybrid >= 0.15 AND lang_a = lang_b""",
+)
+def _pair_self_join_all(spark: SparkSession, sf: str) -> DataFrame:
+    return same_language(spark, sf, hybrid_encoded(spark, sf, 0.15))
+
+
 @query(
     "two_stage_single",
     f"""WITH {ASKED_SQL},{vectors_sql("dv", "doc_id", "documents")},

@@ -133,3 +133,16 @@ def test_a_candidate_without_a_vector_stays(spark):
     assert sorted((r["query_id"], r["pos"], r["doc_id"], r["sim"]) for r in got.collect()) == [
         (1, 1, 10, 0.6), (1, 2, 11, 0.0), (1, 3, 12, -1.0), (2, 1, 10, 0.0),
     ]
+
+
+def test_hybrid_of_all_documents(spark, sf, tmp_path):
+    """Documents without a row in the embeddings table have their pairs, text-only ones included."""
+    from kindred.plans import QUERIES
+
+    texts = ["apple pear plum cherry"] * 2 + ["stone iron copper zinc"] * 2 + ["river"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("hybrid_similarity_all", "pair_self_join_all"):
+        found = {(r.id_a, r.id_b): r.hybrid for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert found[0, 1] == found[2, 3] == 1.0
