@@ -14,6 +14,7 @@ from kindred.llm import (
     cover_topk,
     crf_langid,
     host_quality,
+    importance_resampling,
     line_dedup,
     minhash_paths,
     pu_toxicity,
@@ -213,3 +214,43 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+# CRC-32 in SQL, by bytes and a computed table.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+             lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 bytes of ``text``; ``tab`` of CRC_TABLE must be in scope."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(tab[xor(c, b) % 256 + 1], c >> 8)))"
+
+
+@query(
+    rf"""
+    WITH {CRC_TABLE},
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    dw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w),
+    bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY w),
+    placed AS (SELECT w, {crc_sql("w")} % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc),
+    s AS (SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN placed USING (w) GROUP BY bucket),
+    t AS (SELECT bucket, sum(n)::BIGINT AS t FROM bw JOIN placed USING (w) GROUP BY bucket),
+    gain AS (SELECT w, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+                 / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+             FROM placed LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+    weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS w FROM d) JOIN gain USING (w) GROUP BY doc_id),
+    scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                 (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                   / 4294967296::DOUBLE))))::BIGINT AS score
+               FROM d LEFT JOIN weights USING (doc_id)),
+    able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+               10 * count(*) OVER () // 100 AS wanted FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END::BIGINT AS rank
+    FROM scored LEFT JOIN able USING (doc_id)"""
+)
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
