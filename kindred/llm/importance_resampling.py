@@ -9,12 +9,13 @@ them narrow the cutoff, first of the score, then of the ids tied at it. Only dra
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import ascii_lower
+from kindred.llm.common import ascii_lower, let
 from kindred.session import cut_lineage, spread_width
 
 # After lower-casing, words are runs of a-z, 0-9 and everything beyond ASCII.
@@ -49,12 +50,15 @@ def feature_buckets(words: Column, plan: Resampling) -> Column:
 
     if plan.longest == 1:
         return F.transform(words, bucket)
-    lengths = F.sequence(F.lit(1), F.least(F.lit(plan.longest), F.size(words)))
+    return let(words, lambda found: _runs(found, bucket, plan.longest))
 
+
+def _runs(words: Column, bucket: Callable[[Column], Column], longest: int) -> Column:
     def runs(n: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - n + 1)
         return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, n), " ")))
 
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words)))
     return F.when(F.size(words) > 0, F.flatten(F.transform(lengths, runs))).otherwise(F.array().cast("array<int>"))
 
 
