@@ -17,6 +17,7 @@ from kindred.llm import (
     importance_resampling,
     line_dedup,
     minhash_paths,
+    partition_jaccard,
     pu_toxicity,
     url_rules,
     vector_packing,
@@ -254,3 +255,24 @@ def crc_sql(text: str) -> str:
 )
 def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(
+    r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM docs WHERE len(w) > 0),
+    sets AS (SELECT DISTINCT doc_id, w[i:i + 2] AS s FROM spots),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b USING (s)
+            WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+              WHERE 100 * met.n >= 90 * (p.n + q.n - met.n)),
+    both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (WITH RECURSIVE r(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x)
+              SELECT x, min(y) AS y FROM r GROUP BY x)
+    SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(least(y, doc_id), doc_id) AS component_id
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON x = doc_id"""
+)
+def op13_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return partition_jaccard.similar(table(spark, sf, "documents"))
