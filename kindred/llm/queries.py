@@ -18,6 +18,7 @@ from kindred.llm import (
     line_dedup,
     minhash_paths,
     partition_jaccard,
+    prefix_trie,
     pu_toxicity,
     url_rules,
     vector_packing,
@@ -257,6 +258,30 @@ def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query(
+    f"""
+    WITH {CRC_TABLE},
+    t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+            {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said FROM conversations WHERE conv_id IS NOT NULL),
+    lists AS (SELECT c, list(said ORDER BY pos) AS l FROM t GROUP BY c),
+    hashed AS (SELECT c, l, ({crc_sql("c::VARCHAR")} % 6)::INT AS h FROM lists, crc),
+    built AS (SELECT a.c, list_concat(coalesce(b.l, [])[1:h], a.l[h + 1:]) AS l FROM hashed a LEFT JOIN lists b ON b.c = a.c - a.c % 100),
+    prefixes AS (SELECT c, l, d FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM built)),
+    nodes AS (SELECT l[1:d] AS p, d AS depth, min(c) AS conv_id, count(*) AS n_convs, max(coalesce(length(l[d].text), 0)) AS chars,
+                sha256(coalesce(array_to_string(list(c ORDER BY c) FILTER (d = len(l)), ','), '')) AS ends_sha256
+              FROM prefixes GROUP BY ALL),
+    kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+    below AS (SELECT p[1:a] AS p, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (n_children = 0) AS leaves
+              FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM own) GROUP BY 1)
+    SELECT own.conv_id, own.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children,
+      leaves AS n_leaves, saved::BIGINT AS saved_tokens, own.ends_sha256
+    FROM own JOIN below USING (p) LEFT JOIN nodes up ON own.depth > 0 AND up.p = own.p[1:own.depth - 1]"""
+)
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
 @query(
     r"""
     WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
