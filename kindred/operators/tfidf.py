@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import tokens
-from kindred.session import broadcast_if_fits, cut_lineage, fits, spread_width
+from kindred.session import broadcast_if_fits, cut_lineage, spread_width
 
 # Similarities are ranked after rounding to this many digits: copies of a text tie.
 RANK_DIGITS = 9
@@ -60,17 +60,29 @@ def idf(df: Column, n_docs: int | Column) -> Column:
 
 
 def weigh(counts: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
-    """``(doc_id, term, weight, df)`` at unit length, partitioned by document.
+    """``(doc_id, term, weight, df)`` at unit length, partitioned by document."""
+    raw = times_idf(counts, frequency, n_docs)
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("raw") / length).alias("weight"), "df")
+
+
+def times_idf(counts: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
+    """``(doc_id, term, df, raw)``: weights before they are brought to unit length.
 
     The frequencies are broadcast when they are proven to fit: the counts then stay where they are.
     """
     known = cut_lineage(frequency.select("term", "df"))
-    raw = counts.join(broadcast_if_fits(known, TERM_BYTES), "term").select(
+    return counts.join(broadcast_if_fits(known, TERM_BYTES), "term").select(
         "doc_id", "term", "df",
         ((F.lit(1.0) + F.log(F.col("tf"))) * idf(F.col("df"), n_docs)).alias("raw"),
     )
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "term", (F.col("raw") / length).alias("weight"), "df")
+
+
+def raw_weights(docs: DataFrame) -> DataFrame:
+    """``times_idf`` of ``docs(doc_id, text)`` with the defaults of ``tfidf``: for those who need few terms of each document."""
+    counts = cut_lineage(term_counts(docs))
+    n_docs = docs.count()
+    return times_idf(counts, prune(document_frequency(counts), n_docs), n_docs)
 
 
 def tfidf(
@@ -93,25 +105,6 @@ def tfidf(
     return weigh(counts, frequency, n_docs)
 
 
-def similarity_to(queries: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, sim)`` for all documents that share a term with a query.
-
-    ``queries`` has ``query_id, term, weight``.  When its size is proven small it is
-    broadcast: documents stay where they are, and because they are partitioned by
-    ``doc_id`` the sum per (query, document) needs no shuffle.  Otherwise both sides
-    are joined by term.
-    """
-    q = queries.select("query_id", "term", F.col("weight").alias("query_weight"))
-    if fits(q, row_bytes=64):
-        q = F.broadcast(q)
-    return (
-        weights.join(q, "term")
-        .groupBy("doc_id", "query_id")
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("sim"))
-        .select("query_id", "doc_id", "sim")
-    )
-
-
 def best_per_query(scored: DataFrame, n: int, digits: int = RANK_DIGITS) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", digits)), "doc_id")
     return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import blocks, pairs, search, tfidf, two_stage
+from kindred.operators import blocks, impact, pairs, search, tfidf, two_stage
 
 
 def corpus(n=90, seed=3):
@@ -70,18 +70,45 @@ def test_similar_pairs(spark, at_least):
     assert sum(copies.values()) == len(texts) and max(copies.values()) >= len(texts) // 6
 
 
-def test_topn_when_queries_do_not_fit(spark, monkeypatch):
+def test_topn_by_blocks_of_any_size(spark):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     asked = spark.createDataFrame([(0, texts[1]), (1, texts[0] + " w1 w2")], "query_id bigint, text string")
 
-    def rows():
-        found = two_stage.tfidf_topn(docs, asked, 7)
+    def rows(layout):
+        found = two_stage.tfidf_topn(docs, asked, 7, layout)
         return sorted((r["query_id"], r["pos"], r["doc_id"], round(r["sim"], 9)) for r in found.collect())
 
-    small = rows()
-    monkeypatch.setattr(tfidf, "fits", lambda *a, **k: False)
-    assert small == rows() and len(small) == 14
+    small = rows(impact.Layout(block_docs=5, group_terms=3))
+    assert small == rows(impact.Layout()) and len(small) == 14
+
+
+def test_most_postings_are_not_read(spark):
+    """Frequent terms with little weight: their lists stay closed, and the lists are as exact as a full scan's."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for d in range(3000):
+        common = {int(t): 0.02 + 0.01 * rng.random() for t in rng.choice(60, 40, replace=False)}
+        rare = {int(t): 0.3 + 0.6 * rng.random() for t in 100 + (rng.random(2) ** 2 * 300).astype(int)}
+        rows += [(d, t, w) for t, w in {**common, **rare}.items()]
+    postings = spark.createDataFrame(rows, "doc_id bigint, no bigint, w double")
+    asked = [(q, int(t), 0.1) for q in range(20) for t in range(60)] + [(q, 100 + q * 3 + i, 0.5) for q in range(20) for i in range(4)]
+    queries = impact.queries_of(spark.createDataFrame(asked, "query_id bigint, no bigint, q1 double"))
+    layout = impact.Layout(block_docs=1000)
+    got = impact.search(impact.build(postings, layout), queries, 10, layout)
+    weights = {}
+    for d, t, w in rows:
+        weights.setdefault(t, []).append((d, w))
+    for q in range(20):
+        sums = {}
+        for _, t, x in [a for a in asked if a[0] == q]:
+            for d, w in weights.get(t, []):
+                sums[d] = sums.get(d, 0.0) + x * w
+        best = sorted(((-round(s, 9), d) for d, s in sums.items()))[:10]
+        mine = sorted((-round(r["sim"], 9), r["doc_id"]) for r in got.where(f"query_id = {q}").collect())[:10]
+        assert mine == best
+    read = got.groupBy("query_id").agg(F.sum_distinct("postings").alias("n")).agg(F.avg("n")).first()[0]
+    assert read < 0.25 * len(rows)
 
 
 def test_dense_pairs_and_histogram(spark):
@@ -109,6 +136,8 @@ def test_profile_topn_equals_refitting(spark):
     pairs_taken = [(u, d) for u, ds in taken.items() for d in ds]
     frame = spark.createDataFrame(pairs_taken, "user_id bigint, doc_id bigint")
     got = two_stage.profile_topn(docs, frame, 15).collect()
+    small = two_stage.profile_topn(docs, frame, 15, layout=impact.Layout(block_docs=6, group_terms=100)).collect()
+    assert sorted(map(str, small)) == sorted(map(str, got))
     for user, mine in taken.items():
         rest = [d for d in range(len(texts)) if d not in mine]
         vectors = reference([texts[d] for d in rest] + [" ".join(texts[d] for d in mine)])
