@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions.encoders import embed_batches
-from kindred.functions.text import clean_text
+from kindred.functions.encoders import hashed_vectors
+from kindred.functions.text import tokens
 from kindred.functions.vectors import as_double, parse_literal, vector_mean
 from kindred.operators import cluster, frames, profiles
 from kindred.plans.bind import ITEMS, history, items, names, table
@@ -80,8 +80,8 @@ FROM sums JOIN lens USING (doc_id) WHERE x <> 0""",
 )
 def _embed_batches(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    made = embed_batches(docs, clean_text(F.col("text")))
-    parts = made.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    made = hashed_vectors(docs, "doc_id", tokens(F.col("text")))
+    parts = made.select("doc_id", F.posexplode("vec").alias("dim", "x"))
     return parts.where("x <> 0").select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 

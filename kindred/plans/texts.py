@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions import encoders
 from kindred.functions import text as tx
-from kindred.functions.encoders import embed_batches
 from kindred.operators import ingest, pairs, profiles, tfidf, two_stage
 from kindred.operators.search import unit_items
 from kindred.plans.bind import (
@@ -344,8 +344,8 @@ def vectors_sql(name: str, key: str, source: str) -> str:
 
 def text_vectors(texts: DataFrame, key: str) -> DataFrame:
     """``(key, vec)``: every text encoded; an empty one is the zero vector."""
-    made = embed_batches(texts.select(key, "text"), tx.clean_text(F.col("text")))
-    return made.select(key, F.col("embedding").cast("array<double>").alias("vec"))
+    made = encoders.hashed_vectors(texts, key, tx.tokens(F.col("text")))
+    return made.select(key, F.col("vec").cast("array<double>").alias("vec"))
 
 
 # The same over all documents, with or without a row in the embeddings table: vectors are encoded from the texts.
@@ -481,10 +481,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 12)
       FROM scored WHERE sim < 0.999999) WHERE rn <= 10""",
 )
 def _two_stage_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's vector is that of their joined text."""
+    """A user's vector is that of their joined text: the sum of the signed counts of what they took."""
     docs, taken = documents(spark, sf), taken_docs(spark, sf)
-    mine = text_vectors(two_stage.user_text(taken, docs), "user_id")
-    found = two_stage.two_stage_profile(docs, taken, mine, text_vectors(docs, "doc_id"))
+    tokens = docs.select("doc_id", F.explode_outer(tx.tokens(F.col("text"))).alias("token"))
+    counts = cut_lineage(encoders.hashed_counts(tokens, "doc_id"))
+    summed = taken.join(counts, "doc_id").groupBy("user_id", "dim").agg(F.sum("x").alias("x"))
+    vectors = [encoders.unit_from_counts(c, k).select(k, F.col("vec").cast("array<double>").alias("vec")) for c, k in ((summed, "user_id"), (counts, "doc_id"))]
+    found = two_stage.two_stage_profile(docs, taken, *vectors)
     return found.select(
         F.col("query_id").alias("user_id"), "doc_id", "pos", F.round("sim", 6).alias("sim")
     )
