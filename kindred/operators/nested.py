@@ -2,41 +2,56 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from json import loads as json_loads
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import GRADING_DEFAULTS
+from kindred.session import cut_lineage
+
+
+def paths_of(text: str | None) -> set[str]:
+    """The path of every key in one JSON document; none where it is not valid or a key comes twice in an object."""
+
+    def pairs(found: list[tuple]) -> dict:
+        if len({k for k, _ in found}) < len(found):
+            raise ValueError("a key comes twice")
+        return dict(found)
+
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        waiting = [("", json_loads(text, object_pairs_hook=pairs, parse_constant=refuse))] if text is not None else []
+    except (ValueError, RecursionError):
+        return set()
+    paths = set()
+    while waiting:
+        prefix, value = waiting.pop()
+        if isinstance(value, dict):
+            for k, inner in value.items():
+                path = f"{prefix}.{k}" if prefix else k
+                paths.add(path)
+                waiting.append((path, inner))
+        elif isinstance(value, list):
+            waiting += [(f"{prefix}[]", inner) for inner in value]
+    return paths
 
 
 def key_paths(docs: DataFrame, key: str, json: str) -> DataFrame:
     """``(key, path)`` of every key in each JSON document, ``[]`` marking list items.
 
-    Each pass opens one level of all documents; it ends when no level is left.  Keys whose
-    value is null count as present.
+    One pass over the documents, whatever their depth. Keys whose value is null count as present; a
+    document that is no valid JSON has none.
     """
-    spark = docs.sparkSession
-    level = docs.select(key, F.lit("").alias("prefix"), F.try_parse_json(json).alias("v"))
-    found = []
-    while True:
-        opened = level.lateralJoin(
-            spark.tvf.variant_explode(F.col("v").outer())
-        ).select(
-            key,
-            F.when(F.col("key").isNull(), F.concat("prefix", F.lit("[]")))
-            .when(F.col("prefix") == "", F.col("key"))
-            .otherwise(F.concat_ws(".", "prefix", "key"))
-            .alias("prefix"),
-            F.col("key").isNotNull().alias("named"),
-            F.col("value").alias("v"),
-        )
-        found.append(opened.where("named").select(key, F.col("prefix").alias("path")))
-        inner = F.schema_of_variant("v")
-        level = opened.where(inner.startswith("OBJECT") | inner.startswith("ARRAY")).drop("named")
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found).distinct()
+
+    @F.udf(returnType="array<string>", useArrow=True)
+    def opened(text):
+        return sorted(paths_of(text))
+
+    return docs.select(key, F.explode(opened(F.col(json).cast("string"))).alias("path")).distinct()
 
 
 def presence(paths: DataFrame, key: str) -> DataFrame:
@@ -44,19 +59,21 @@ def presence(paths: DataFrame, key: str) -> DataFrame:
     return paths.select(key, "path").distinct().groupBy("path").agg(F.count("*").alias("n_docs"))
 
 
-def missing_keys(docs: DataFrame, paths: DataFrame, key: str) -> DataFrame:
+def missing_keys(docs: DataFrame, paths: DataFrame, key: str, chunk_paths: int = 1000) -> DataFrame:
     """``(key, path)`` of paths other documents have and this one lacks.
 
-    The set of all paths is the schema of the collection, not its data: it is read once and
-    sent along as a literal.
+    All paths are dealt to chunks of bounded size by a hash; a document meets each chunk once, and
+    its own paths of that chunk are taken off. Nothing is collected, however many paths there are.
     """
-    everything = [r["path"] for r in paths.select("path").distinct().collect()]
-    mine = paths.groupBy(key).agg(F.collect_set("path").alias("mine"))
-    whole = F.array(*[F.lit(p) for p in everything]).cast("array<string>")
-    return docs.select(key).join(mine, key, "left").select(
-        key,
-        F.explode(F.array_except(whole, F.coalesce("mine", F.array().cast("array<string>")))).alias("path"),
-    )
+    paths = cut_lineage(paths.select(key, "path"))
+    every = cut_lineage(paths.select("path").distinct())
+    chunks = max(1, math.ceil(every.count() / chunk_paths))
+    chunk = F.pmod(F.xxhash64("path"), F.lit(chunks)).cast("int").alias("chunk")
+    whole = every.groupBy(chunk).agg(F.collect_list("path").alias("whole"))
+    mine = paths.groupBy(key, chunk).agg(F.collect_set("path").alias("mine"))
+    met = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).join(whole, "chunk")
+    lacking = F.array_except("whole", F.coalesce("mine", F.array().cast("array<string>")))
+    return met.join(mine, [key, "chunk"], "left").select(key, F.explode(lacking).alias("path"))
 
 
 def flatten_weeks(plan: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+ACCURACY = 50_000
+# Up to so many values all of them are counted.
+FEW = 20 * ACCURACY
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -26,74 +26,71 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> DataFrame:
-    """``(prob, value)`` with linear interpolation, without one task seeing all values.
+    """``(prob, value)`` with linear interpolation, in two scans and without one task seeing all values."""
+    return quantiles_and(df, column, probs, [])[0]
+
 
-    An approximate percentile with a known rank error brackets each wanted rank; only the
-    values inside the brackets are counted and ordered.
+def quantiles_and(df: DataFrame, column: str, probs: list[float], more: list[Column]) -> tuple[DataFrame, Row]:
+    """``exact_quantiles`` and one row of ``more`` aggregates, which the first scan computes as well.
+
+    The first scan's rank sketch brackets all wanted ranks at once. The second scan counts, for every
+    bracket, the rows below it in one group and those inside by value; only the latter are ordered.
     """
     x = F.col(column).cast("double")
     values = df.select(x.alias("x")).where("x is not null")
-    n = values.count()
-    schema = "prob double, value double"
-    if not n:
-        return df.sparkSession.createDataFrame([(p, None) for p in probs], schema)
-    # The approximate rank errs by 1 / ACCURACY; both neighbours of a rank must lie inside.
-    gap = 2.0 / ACCURACY + 2.0 / n
+    # The sketch's rank errs by 1 / ACCURACY; both neighbours of a rank must lie inside.
+    gap = 3.0 / ACCURACY
     wanted = [p for q in probs for p in (max(q - gap, 0.0), min(q + gap, 1.0))]
-    first = values.agg(
-        F.min("x").alias("low"), F.max("x").alias("high"),
-        F.percentile_approx("x", wanted, ACCURACY).alias("edges"),
+    first = df.agg(
+        F.count(x).alias("_n"), F.min(x).alias("_low"), F.max(x).alias("_high"),
+        F.percentile_approx(x, wanted, ACCURACY).alias("_edges"), *more,
     ).first()
-    edges = []
+    n = first["_n"]
+    if not n:
+        return df.sparkSession.createDataFrame([(p, None) for p in probs], "prob double, value double"), first
+    brackets = []
     for i, p in enumerate(probs):
-        low = first["low"] if p - gap <= 0 else first["edges"][2 * i]
-        high = first["high"] if p + gap >= 1 else first["edges"][2 * i + 1]
-        edges.append((p, low, high))
-    below = values.agg(*[F.count_if(F.col("x") < F.lit(lo)).alias(f"b{i}") for i, (_, lo, _) in enumerate(edges)]).first()
+        # A bracket of few rows could miss a neighbour; then all values are few enough to count.
+        low = first["_low"] if p <= gap or n <= FEW else first["_edges"][2 * i]
+        high = first["_high"] if p + gap >= 1 or n <= FEW else first["_edges"][2 * i + 1]
+        brackets.append((low, high))
+    below, inside = F.lit(None).cast("double"), F.col("x")
     tagged = F.array(
         *[
-            F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.lit(i))
-            for i, (_, lo, hi) in enumerate(edges)
+            F.when(F.col("x") <= hi, F.struct(F.lit(i).alias("i"), F.when(F.col("x") >= lo, inside).otherwise(below).alias("x")))
+            for i, (lo, hi) in enumerate(brackets)
         ]
     )
-    inside = (
-        values.select("x", F.explode(F.array_compact(tagged)).alias("i"))
-        .groupBy("i", "x")
-        .agg(F.count("*").alias("n"))
-    )
-    upto = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.element_at(F.array(*[F.lit(int(below[f"b{i}"])) for i in range(len(edges))]), F.col("i") + 1)
-    ranked = inside.withColumn("last", F.sum("n").over(upto) + start - 1).withColumn(
-        "first", F.col("last") - F.col("n") + 1
-    )
-    picks = []
-    for i, p in enumerate(probs):
-        at = p * (n - 1)
-        lower = int(at)
-        upper = min(lower + 1, n - 1)
-        mine = ranked.where(F.col("i") == i)
+    counted = values.select(F.inline(F.array_compact(tagged))).groupBy("i", "x").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("i").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("last", F.sum("n").over(upto) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    at = [p * (n - 1) for p in probs]
+
+    def of_bracket(numbers: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in numbers]), F.col("i") + 1)
 
-        def value_at(rank: int):
-            return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("x")))
+    def value_at(ranks: list[int]) -> Column:
+        rank = of_bracket(ranks)
+        return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("x")))
 
-        a, b = value_at(lower), value_at(upper)
-        picks.append(mine.agg((a + (b - a) * F.lit(at - lower)).alias("value")).select(F.lit(p).alias("prob"), "value"))
-    return reduce(DataFrame.unionByName, picks)
+    ends = ranked.groupBy("i").agg(
+        value_at([int(r) for r in at]).alias("a"), value_at([min(int(r) + 1, n - 1) for r in at]).alias("b")
+    )
+    share = of_bracket([r - int(r) for r in at])
+    value = F.col("a") + (F.col("b") - F.col("a")) * share
+    return ends.select(of_bracket([float(p) for p in probs]).alias("prob"), value.alias("value")), first
 
 
 def describe_numeric(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, std, min, quartiles and max."""
     x = F.col(column).cast("double")
-    base = df.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("low"), F.max(x).alias("high"),
-    )
-    quartile = {r["prob"]: r["value"] for r in exact_quantiles(df, column, [0.25, 0.5, 0.75]).collect()}
-    return base.select(
-        F.lit(column).alias("column"), "n", "mean", "std", "low",
-        F.lit(quartile[0.25]).alias("q1"), F.lit(quartile[0.5]).alias("median"),
-        F.lit(quartile[0.75]).alias("q3"), "high",
-    )
+    quartiles, base = quantiles_and(
+        df, column, [0.25, 0.5, 0.75], [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")]
+    )
+    q = {r["prob"]: r["value"] for r in quartiles.collect()}
+    row = (column, base["_n"], base["mean"], base["std"], base["_low"], q[0.25], q[0.5], q[0.75], base["_high"])
+    schema = "column string, n long, mean double, std double, low double, q1 double, median double, q3 double, high double"
+    return df.sparkSession.createDataFrame([row], schema)
 
 
 def boxplot_stats(df: DataFrame, column: str) -> DataFrame:

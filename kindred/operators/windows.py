@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import cut_lineage, spread_width
+
 
 def _order(order: list[str]) -> Column:
     return F.struct(*order)
@@ -33,12 +35,36 @@ def fill_down(
     )
 
 
+def before_chunks(sizes: DataFrame, keys: list[str], chunk: str, size: str, name: str) -> DataFrame:
+    """``(keys, chunk, name)``: the sum of ``size`` over the key's earlier chunks (all earlier chunks, without keys).
+
+    Two levels: chunks are dealt to ranges and summed inside each range; then one total per range
+    and key passes on, so that a key's chunks never meet in one task, however many they are.
+    """
+    ranged = sizes.select(*keys, chunk, size).repartitionByRange(spread_width(sizes), *keys, chunk)
+    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(size).over(inside), F.lit(0))
+    totals = ranged.groupBy("_range", *keys).agg(F.sum(size).alias("_total"))
+    if not keys:
+        # One number per range: as many as there are shuffle partitions.
+        found = {r["_range"]: r["_total"] for r in totals.collect()}
+        offsets = [0]
+        for i in range(max(found, default=0)):
+            offsets.append(offsets[-1] + found.get(i, 0))
+        carried = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_range"))
+        return ranged.select(chunk, (own + carried).alias(name))
+    across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_range", *keys, F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_carried"))
+    summed = ranged.withColumn("_own", own).join(carried, ["_range", *keys])
+    return summed.select(*keys, chunk, (F.col("_own") + F.col("_carried")).alias(name))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: str, name: str) -> DataFrame:
     """``name``: the row's 1-based position in its key (in the table, without keys)."""
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*keys, chunk).agg(F.count("*").alias("_n"))
-    offsets = sizes.select(*keys, chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = before_chunks(sizes, keys, chunk, "_n", "_before")
     return (
         df.withColumn(name, F.row_number().over(inside))
         .join(offsets, [*keys, chunk])

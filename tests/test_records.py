@@ -102,3 +102,20 @@ def test_nested_tables_line_breaks_and_references(spark):
     assert text == {1: "a b · © €A 강의개요 one two iné three next", 2: "", 3: ""}
     found = df.select("id", pages.after_label(pages.page_cells(F.col("html")), ["강의개요"]).alias("v"))
     assert {r.id: r.v for r in found.collect()} == {1: "one\ntwo\niné\nthree", 2: "", 3: ""}
+
+
+def test_key_paths_in_one_pass(spark):
+    texts = ['{"a": {"b": [{"c": 1}, {"d": null}, [2, {"e": 3}]]}}', "[1, 2]", "{broken", None, '{"a": 1, "a": 2}', '{"x": "' + "y" * 100_000 + '"}']
+    deep = '{"k": ' * 50 + "1" + "}" * 50
+    rows = list(enumerate([*texts, deep]))
+    docs = spark.createDataFrame(rows, "doc_id long, json string")
+    paths = nested.key_paths(docs, "doc_id", "json")
+    found = {}
+    for r in paths.collect():
+        found.setdefault(r["doc_id"], set()).add(r["path"])
+    assert found[0] == {"a", "a.b", "a.b[].c", "a.b[].d", "a.b[][].e"} and found[5] == {"x"} and len(found[6]) == 50
+    assert set(found) == {0, 5, 6}
+    every = set().union(*found.values())
+    want = {(i, p) for i, _ in rows for p in every - found.get(i, set())}
+    for size in (2, 1000):
+        assert {(r["doc_id"], r["path"]) for r in nested.missing_keys(docs, paths, "doc_id", size).collect()} == want

@@ -1,6 +1,7 @@
 """Running values and quantiles on a table where one key holds most rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -75,3 +76,29 @@ def test_week_pairs(spark):
         ("1주차", "소개", "v2"), ("3주차", "실습", "v5"), ("과목", None, "v0"), ("2", None, "v3"),
         ("17", None, "v6"), ("끝", None, "v7"), ("4", None, "v8"),
     }
+
+
+def test_many_chunks_never_meet(spark):
+    """A hundred thousand chunks of one name, and of the whole table: no window without keys, right numbers."""
+    df = spark.range(200_000).select(
+        (F.col("id") * 7919 % 200_000).alias("x"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("name")
+    ).withColumn("chunk", F.floor(F.col("x") / 2))
+    numbered = windows.number_rows(df, [], ["x"], "chunk", "n")
+    assert "SinglePartition" not in numbered._jdf.queryExecution().toString()
+    assert numbered.where("n <> x + 1").isEmpty() and numbered.count() == 200_000
+    by_name = windows.number_rows(df, ["name"], ["x"], "chunk", "n")
+    want = by_name.withColumn("want", F.row_number().over(Window.partitionBy("name").orderBy("x")))
+    assert want.where("n <> want").isEmpty() and want.count() == 200_000
+
+
+@pytest.mark.parametrize("few", [stats.FEW, 100])
+def test_quantiles_in_two_scans(spark, monkeypatch, few):
+    monkeypatch.setattr(stats, "FEW", few)
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=150_000), rng.integers(0, 9, 120_000).astype(float), np.array([3.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+        made = stats.exact_quantiles(df, "v", probs)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+        got = {r["prob"]: r["value"] for r in made.collect()}
+        assert all(abs(got[p] - np.quantile(values, p)) < 1e-9 for p in probs)
