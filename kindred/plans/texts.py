@@ -348,8 +348,12 @@ def text_vectors(texts: DataFrame, key: str) -> DataFrame:
     return made.select(key, F.col("vec").cast("array<double>").alias("vec"))
 
 
-# The same over all documents, with or without a row in the embeddings table: vectors are encoded from the texts.
-ENCODED_SQL = f"""{tfidf_sql()},{vectors_sql("dv", "doc_id", "documents")},
+# The same over all documents, with or without a row in the embeddings table. Vectors are hashed from idf-weighted
+# terms: words that every text of a language holds bring no two texts near, so that the threshold is selective.
+DENSE_WIDTH = 256
+ENCODED_SQL = f"""{tfidf_sql()},
+dv AS (SELECT doc_id, m % {DENSE_WIDTH} AS dim, sum(CASE WHEN m // {DENSE_WIDTH} % 2 = 1 THEN weight ELSE -weight END) AS x
+  FROM (SELECT doc_id, weight, CAST('0x' || left(md5(term), 8) AS BIGINT) AS m FROM tfidf) GROUP BY 1, 2),
 text_sims AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, sum(a.weight * b.weight) AS tfidf
   FROM tfidf a JOIN tfidf b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2),
 dv_unit AS (SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM dv),
@@ -363,10 +367,11 @@ blend AS (
 
 
 def hybrid_encoded(spark: SparkSession, sf: str, at_least: float) -> DataFrame:
-    docs = documents(spark, sf)
-    vectors = text_vectors(docs, "doc_id").toDF("item_id", "embedding")
+    weights = cut_lineage(tfidf.tfidf(documents(spark, sf)).select("doc_id", "term", "weight", "df"))
+    hashed = encoders.hashed_weights(weights, "doc_id", width=DENSE_WIDTH)
+    vectors = encoders.unit_from_counts(hashed, "doc_id", DENSE_WIDTH, "double").toDF("item_id", "embedding")
     stock = cut_lineage(vectors.withColumns({"code": F.lit(""), "section": F.lit("")}))
-    return pairs.hybrid_pairs(tfidf.tfidf(docs), stock, at_least)
+    return pairs.hybrid_pairs(weights, stock, at_least)
 
 
 @query(
