@@ -363,7 +363,12 @@ def candidate_links(keyed: DataFrame, classes: DataFrame, join: Join) -> DataFra
         .where((F.col("n") > 1) & F.col("first").isNotNull())
     )
     met = cut_lineage(keyed.join(shared, "key"))
-    stars = met.where(F.col("n") > _FEW).select(F.col("first").alias("a"), F.col("c").alias("b"))
+    # Rows of frequent keys: each is linked to the smallest first row of its keys, and that to the keys' other first rows.
+    many = met.where(F.col("n") > _FEW).select("c", "first")
+    least = cut_lineage(many.groupBy("c").agg(F.min("first").alias("m")))
+    stars = least.select(F.col("m").alias("a"), F.col("c").alias("b")).unionByName(
+        many.join(least, "c").select(F.col("m").alias("a"), F.col("first").alias("b"))
+    )
     few = met.where(F.col("n") <= _FEW).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "whole"))).alias("rows"))
     left, right = F.col("l"), F.col("r")
     pairs = (
