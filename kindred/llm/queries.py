@@ -105,15 +105,15 @@ def op2_url_filters(spark: SparkSession, sf: str) -> DataFrame:
               WHERE n > 1),
     covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
-    dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
+    dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines
              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
     m AS (SELECT doc_id, host, len(words)::BIGINT AS n_words,
             length(array_to_string(words, ''))::BIGINT AS word_chars,
             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-            coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+            coalesce(n_lines, 0) AS n_lines, coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
           FROM docs LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id)),
     f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2,
-            n_symbols > 0.1::DOUBLE * n_words AS f3, 100 * n_dup_lines > 30 * greatest(n_words, 1) AS f4 FROM m),
+            n_symbols > 0.1::DOUBLE * n_words AS f3, 100 * n_dup_lines > 30 * n_lines AS f4 FROM m),
     hosts AS (SELECT host, count(*) AS n, count(*) FILTER (f1) AS c1, count(*) FILTER (f2) AS c2,
                 count(*) FILTER (f3) AS c3, count(*) FILTER (f4) AS c4 FROM f GROUP BY host),
     rates AS (SELECT host, n, unnest([c1, c2, c3, c4]) AS c, unnest([1, 2, 3, 4]) AS r FROM hosts),

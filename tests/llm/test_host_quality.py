@@ -64,3 +64,26 @@ def test_keep_leaves_columns_alone(awkward_docs, no_docs):
     want = sorted(str(r) for r in awkward_docs.collect() if (m := by_hand(r.text))[0] and 100 * m[4] <= 50 * m[0])
     assert sorted(str(r) for r in kept.collect()) == want
     assert keep(no_docs, "source").count() == 0
+
+
+def test_a_host_that_fails_by_lines_alone(spark, tmp_path):
+    """The registered query and its SQL agree where a host goes strict, and only for its repeated lines."""
+    import duckdb
+
+    from kindred.llm.queries import ORACLES, QUERIES
+
+    def text(i, repeated):
+        lines = [" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(6)]
+        return "\n".join(lines + ([f"menu of page {i % 2}"] * 6 if repeated else []))
+
+    rows = [(i, text(i, i % 10), "en", "bad", 0) for i in range(60)] + [(100 + i, text(i, False), "en", f"good{i % 5}", 0) for i in range(200)]
+    rows += [(900, None, None, None, 0), (901, text(901, True), "en", "good1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.base_failed, r.kept, r.n_dup_lines) for r in QUERIES["op3_quality_rules"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"SELECT doc_id, base_failed, kept, n_dup_lines FROM ({ORACLES['op3_quality_rules']})").fetchall()
+    assert got == sorted(want)
+    kept = {r[0] for r in got if r[2]}
+    assert kept == {i for i in range(60) if i % 10 == 0} | set(range(100, 300)) | {901}
