@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+LONGEST = 40
 UNKNOWN = "und"
 BATCH_DOCS = 256
 CACHE_WORDS = 400_000
@@ -45,14 +46,19 @@ class Fit:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, as far as Python's word characters without digits go."""
-    return [w for w in _WORD.findall(text.lower()) if w[0].isalpha() or any(map(str.isalpha, w))] if text else []
+    """Lower-cased runs of letters, as far as Python's word characters without digits go.
+
+    A run of more than ``LONGEST`` letters, as in text without spaces, is cut into pieces of so many.
+    """
+    found = [w for w in _WORD.findall(text.lower()) if w[0].isalpha() or any(map(str.isalpha, w))] if text else []
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    pieces = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    return [w for w in pieces if any(map(str.isalpha, w))]
 
 
 def marks(word: str) -> list[bytes]:
-    """Affixes, n-grams and the word itself; very long words by their first and last characters."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
+    """Affixes, n-grams and the word itself."""
     w = word.encode()
     edged = f"^{word}$"
     out = [b"w" + w]
@@ -289,16 +295,21 @@ def label(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, field: Field, least: float) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, columns as they are."""
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, columns as they are.
+
+    Rows without a text, or with one that has no letter, go; repeated rows and null ids stay as often
+    as they come; no rows give no rows. Only the text passes to Python, and only the decision back.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(field)
-    at_text = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shipped.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(at, BATCH_DOCS)
-                found = labeller.texts(part.column(at_text).to_pylist())
-                yield part.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in texts:
+            known: list[bool] = []
+            for at in range(0, len(batch), BATCH_DOCS):
+                found = labeller.texts(batch.slice(at, BATCH_DOCS).to_pylist())
+                known += [x[0] != UNKNOWN and x[1] >= least for x in found]
+            yield pa.array(known, pa.bool_())
+
+    decide.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.where(F.arrow_udf(decide, "boolean")("text"))

@@ -67,3 +67,16 @@ def test_held_out(spark):
     rows = [r for r in QUERIES["op5_language_id"](spark, sf).collect() if r.held_out and truth[r.doc_id]]
     assert sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.98 * len(rows)
     assert sum(r.score >= 0.5 for r in rows) >= 0.98 * len(rows)
+
+
+def test_keep_known_and_long_runs(spark, docs, awkward_docs, no_docs):
+    """Awkward rows pass the filter whole or not at all; a run without spaces gives features from end to end."""
+    from kindred.llm.crf_langid import fit_field, keep_known, words_of
+
+    field = fit_field(docs)
+    kept = keep_known(awkward_docs, field, 0.0)
+    assert kept.dtypes == awkward_docs.dtypes
+    rows = awkward_docs.collect()
+    assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in rows)
+    assert keep_known(no_docs, field, 0.5).count() == 0
+    assert "".join(words_of("ab" * 100)) == "ab" * 100 and max(map(len, words_of("ab" * 100))) == 40
