@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # A table is broadcast, or a catalogue shipped whole to the tasks, only below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "2000"
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "4194304"}
 
 
 def build_session(app: str = "kindred", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,13 +42,18 @@ def ship_package(spark: SparkSession) -> None:
     """Give the Python workers this package, as ``--py-files`` would; once per application.
 
     Workers also get one BLAS thread each unless the session says otherwise: Spark already
-    runs a task per core.
+    runs a task per core. They return freed memory to the system, and batches of rows for them
+    are kept small, unless the session names another size: rows may be long texts.
     """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     for threads in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         context.environment.setdefault(threads, "1")
+    for setting, value in WORKER_MEMORY.items():
+        context.environment.setdefault(setting, value)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="kindred-py-")) / "kindred.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
