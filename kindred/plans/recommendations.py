@@ -300,10 +300,10 @@ def _recommend_final(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "recommend_final_untaken",
     f"""WITH RECURSIVE {BASE},
-{greedy_sql(top_pool(100, True), 60, 0.4, 0.25, 0.15, cluster="length")} {PICKED_CLUSTER}""",
+{greedy_sql(top_pool(1000, True), 500, 0.4, 0.25, 0.15, cluster="length")} {PICKED_CLUSTER}""",
 )
 def _recommend_final_untaken(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.recommend(history(spark, sf), items(spark, sf), selection.final_untaken(60, 100))
+    found = search.recommend(history(spark, sf), items(spark, sf), selection.final_untaken(500, 1000))
     return shape(found, "cluster")
 
 

@@ -240,6 +240,21 @@ def _select_fields(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select("doc_id", *kept).withColumn("학점", F.lpad("학점", 5, " "))
 
 
+@query(
+    "select_fields_embedded",
+    f"""WITH {SYLLABI_SQL}
+SELECT doc_id, name AS "교과목명",
+  CASE WHEN goal1 IS NOT NULL OR goal2 IS NOT NULL THEN concat_ws(' ', goal1, goal2) END AS "강의목표",
+  skill AS "전공능력 및\n핵심역량",
+  CASE WHEN coalesce(topic1, content1, topic2, task2) IS NOT NULL THEN concat_ws(' ', topic1, content1, topic2, task2) END
+    AS "주차별 강의진행계획서"
+FROM syllabi""",
+)
+def _select_fields_embedded(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of the embedded text that a record has, goals and weekly plan flattened."""
+    return frames.select_fields(syllabi(spark, sf), "doc_id", frames.EMBEDDED_FIELDS)
+
+
 # ---- grids --------------------------------------------------------------------------
 
 CELLS_SQL = r"""
