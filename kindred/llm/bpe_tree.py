@@ -20,9 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_BYTES = 64
-CACHE_CHUNKS = 400_000
+# A match of up to so many bytes is one call of the merges; longer ones are halved and joined.
+LEAF_BYTES = 8
+# Chunks kept in each of two generations.
+CACHE_CHUNKS = 150_000
 BATCH_DOCS = 256
+# Ids decoded at once, unless one text has more.
+DECODE_IDS = 1 << 22
 
 # White space as the pattern means it: the Unicode property, which Python's \s differs from.
 _GAP = r"\t-\r \x85\xa0  -     　"
@@ -46,7 +50,9 @@ class TreeBpe:
         self.leaf = merges._encode_single_piece  # the merges of one short run of bytes
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.stable = lru_cache(1 << 16)(self._stable)
-        self.chunks: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.flat = pa.array(self.tokens, pa.large_binary())
 
     def _stable(self, left: int, right: int) -> bool:
         return self.leaf(self.tokens[left] + self.tokens[right]) == [left, right]
@@ -86,13 +92,32 @@ class TreeBpe:
         return np.asarray(ids, "<i4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        chunks, kept = _CHUNK.findall(text), self.chunks
-        if len(kept) > CACHE_CHUNKS:
-            kept.clear()
+        """Ids of a text; a chunk is kept as long as it is met again before a generation is full."""
+        chunks = _CHUNK.findall(text)
+        if len(self.young) > CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
+        kept, old = self.young, self.old
         for chunk in set(chunks).difference(kept):
-            kept[chunk] = self.chunk(chunk)
+            kept[chunk] = old[chunk] if chunk in old else self.chunk(chunk)
         return np.frombuffer(b"".join(map(kept.__getitem__, chunks)), "<i4")
 
+    def decode(self, ids: pa.ListArray) -> Iterator[tuple[int, pa.Array]]:
+        """``(rows, bytes of each)`` for runs of lists: the leaves of the decoding tree, concatenated in one take."""
+        lengths = ids.value_lengths().fill_null(0).to_numpy()
+        ends = np.cumsum(lengths)
+        start = 0
+        while start < len(ids):
+            before = ends[start] - lengths[start]
+            stop = max(start + 1, int(np.searchsorted(ends, before + DECODE_IDS, side="right")))
+            taken = self.flat.take(ids.slice(start, stop - start).flatten())
+            places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+            cuts = places[np.concatenate([[0], ends[start:stop] - before])]
+            offsets = pa.py_buffer((cuts - cuts[0]).astype("<i4").tobytes())
+            data = taken.buffers()[2]
+            data = data.slice(int(cuts[0]), int(cuts[-1] - cuts[0])) if data is not None else pa.py_buffer(b"")
+            yield stop - start, pa.Array.from_buffers(pa.binary(), stop - start, [None, offsets, data])
+            start = stop
+
 
 _CODECS: dict[tuple[str, str], TreeBpe] = {}
 
@@ -132,11 +157,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(at, BATCH_DOCS)
-                data = [bpe.bytes_of(ids or []) for ids in part.column(1).to_pylist()]
-                columns = [part.column(0), part.column(1).cast(target.field(1).type), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=target)
+            start = 0
+            for rows, data in bpe.decode(batch.column(1)):
+                part = batch.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(target.field(1).type), data], schema=target)
+                start += rows
 
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -63,3 +63,16 @@ def test_query(spark, sf, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_ordinary_words_are_joined(docs):
+    """With the leaf in use, words of ordinary text are halved and joined, and give the library's ids."""
+    from kindred.llm.bpe_tree import LEAF_BYTES, TreeBpe
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tree, whole = TreeBpe(path, pattern), TreeBpe(path, pattern, leaf_bytes=1 << 20)
+    joins, join = [], tree.join
+    tree.join = lambda left, right: (joins.append(1), join(left, right))[1]
+    texts = [r.text for r in docs.limit(100).collect() if r.text]
+    assert all((tree.encode(t) == whole.encode(t)).all() for t in texts)
+    assert LEAF_BYTES == 8 and len(joins) > 500
