@@ -10,7 +10,7 @@ from kindred.functions.text import tokens
 from kindred.functions.vectors import as_double, parse_literal, vector_mean
 from kindred.operators import cluster, frames, profiles
 from kindred.plans.bind import ITEMS, history, items, names, table
-from kindred.plans.records import SYLLABI_SQL, flat_syllabi, json_syllabi
+from kindred.plans.records import SYLLABI_SQL, flat_syllabi, json_syllabi, syllabi
 from kindred.plans.registry import query
 from kindred.plans.texts import tokens_sql
 from kindred.session import fresh_path
@@ -193,6 +193,26 @@ def _write_json_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("doc_id bigint, lang string, n_chars bigint, source string").json(path)
 
 
+@query(
+    "syllabus_documents",
+    f"""WITH {SYLLABI_SQL} SELECT code, code || '-' || section AS key, nullif(name, '') AS name, nullif(goal1, '') AS goal1,
+  nullif(midterm, '') AS midterm, nullif(content1, '') AS content1, nullif(task2, '') AS task2 FROM syllabi""",
+)
+def _syllabus_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain from raw records to one nested document per section, written and read back."""
+    path = fresh_path(spark, "sections")
+    files.write_record_per_section(frames.documents_of(syllabi(spark, sf).drop("교재"), "doc_id"), path, "doc_id")
+    read = files.read_record_per_section(spark, path)
+
+    def part(inner: str):
+        return F.get_json_object("record", f"$.{inner}")
+
+    return read.select(
+        "code", "key", part("course_name").alias("name"), part("objective.goal1").alias("goal1"), part("evaluation.midterm").alias("midterm"),
+        part("weekly_plan.week1.content").alias("content1"), part("weekly_plan.week2.exam_or_task").alias("task2"),
+    )
+
+
 @query("url_list_scan", "SELECT url AS value FROM pages WHERE page_id % 9 <> 4")
 def _url_list_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A list with holes: every ninth URL is missing."""

@@ -119,3 +119,9 @@ def test_key_paths_in_one_pass(spark):
     want = {(i, p) for i, _ in rows for p in every - found.get(i, set())}
     for size in (2, 1000):
         assert {(r["doc_id"], r["path"]) for r in nested.missing_keys(docs, paths, "doc_id", size).collect()} == want
+
+
+def test_select_fields(spark):
+    df = spark.sql("SELECT 1 AS id, 'n' AS `교과목명`, 3.0D AS `학점`, named_struct('a', 'x', 'b', named_struct('c', cast(null AS string), 'd', 'y')) AS `강의목표`, named_struct('a', cast(null AS string)) AS `강의개요`")
+    got = frames.select_fields(df, "id", frames.COMPARED_FIELDS).first()
+    assert got.asDict() == {"id": 1, "교과목명": "n", "강의목표": "x y", "강의개요": None}

@@ -79,3 +79,13 @@ def test_topics(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     topics = cluster.lda_topics(docs, k=3, n_terms=5).collect()
     assert len(topics) == 15 and all(0 < r["weight"] < 1 and r["term"] for r in topics)
+
+
+def test_record_per_section(spark, tmp_path):
+    """The last record of a section stays, odd names survive, and a code has one file."""
+    rows = [(i, f"A {i % 3}/x", str(i % 2), '{"n":"%d","in":{"q":"\\"}"}}' % i) for i in range(60)] + [(99, None, "1", "{}")]
+    df = spark.createDataFrame(rows, "doc_id long, code string, section string, record string").repartition(7)
+    files.write_record_per_section(df, f"{tmp_path}/out", "doc_id")
+    got = {r["key"]: r["record"] for r in files.read_record_per_section(spark, f"{tmp_path}/out").collect()}
+    assert got == {f"{c}-{s}": rec for _, c, s, rec in rows[:60]}
+    assert all(len([f for f in d.iterdir() if f.name.startswith("part-")]) == 1 for d in (tmp_path / "out").iterdir() if d.is_dir())
