@@ -48,19 +48,28 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[str, bytes] = {}
 
     def fill(self, parts: set[str]) -> None:
-        missing = [p for p in parts if p not in self]
-        lowered = list({p.lower() if p.isalpha() and len(p.lower()) == len(p) else p for p in missing})
-        if len(self) + len(missing) > CACHE_WORDS:
+        """Ids of all ``parts``; a part is kept as long as it comes again before a generation is full."""
+        if len(self) > CACHE_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-            missing = list(parts)
-            lowered = list({p.lower() if p.isalpha() and len(p.lower()) == len(p) else p for p in missing})
+        missing = []
+        for p in parts.difference(self):
+            if p in self.old:
+                self[p] = self.old[p]
+            else:
+                missing.append(p)
+        lowered = list({p.lower() if p.isalpha() and len(p.lower()) == len(p) else p for p in missing})
         ids = {}
         for at in range(0, len(lowered), 4096):
             words = lowered[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            ids.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
+            # One call for all of them: each word is split and merged on its own, as if it were the text.
+            encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            data, lengths = np.asarray(encoded.ids, "<u4").tobytes(), np.bincount(np.asarray(encoded.word_ids, np.int64), minlength=len(words))
+            ends = np.cumsum(4 * lengths)
+            ids.update(zip(words, (data[e - 4 * n : e] for e, n in zip(ends.tolist(), lengths.tolist())), strict=True))
         for p in missing:
             self[p] = ids[p] if p in ids else ids[p.lower()]
 
