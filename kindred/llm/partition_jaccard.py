@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import map_groups
 from kindred.llm.components import components
-from kindred.llm.minhash_paths import LAST, id_key, in_blocks, link_columns, set_id, shingles, spanning, text_mark
+from kindred.llm.minhash_paths import id_key, in_blocks, link_columns, set_id, shingles, spanning, text_mark
 from kindred.session import broadcast_if_fits, cut_lineage, spread_width
 
 _PARITY_WORDS = 8
