@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kindred.functions import encoders
 from kindred.functions import text as tx
 from kindred.operators import ingest, pairs, profiles, tfidf, two_stage
-from kindred.operators.search import unit_items
 from kindred.plans.bind import (
     BASE,
     HISTORY,
