@@ -34,6 +34,7 @@ PIECES = (
 # the cuts changes a token: the vocabulary's pattern cuts there too, and apostrophes stay inside.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[{_LETTERS}]+")
 _PART = re.compile(rf"[{_LETTERS}]+(?=[{_MARKS}]*(?:[ \t\n\r]|\Z))|[{_MARKS}]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
 
 
@@ -46,8 +47,13 @@ class WordTokens(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-case Latin letters the normaliser changes nothing and the pattern cuts nowhere: only the merge is left.
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.old: dict[str, bytes] = {}
 
     def fill(self, parts: set[str]) -> None:
@@ -62,7 +68,13 @@ class WordTokens(dict):
             else:
                 missing.append(p)
         lowered = list({p.lower() if p.isalpha() and len(p.lower()) == len(p) else p for p in missing})
+        plain = [w for w in lowered if _PLAIN.fullmatch(w) and w.islower()]
         ids = {}
+        for at in range(0, len(plain), 4096):
+            words = plain[at : at + 4096]
+            found = self.merger.encode_batch_fast(words, add_special_tokens=False)
+            ids.update(zip(words, (np.asarray(e.ids, "<u4").tobytes() for e in found), strict=True))
+        lowered = [w for w in lowered if w not in ids]
         for at in range(0, len(lowered), 4096):
             words = lowered[at : at + 4096]
             # One call for all of them: each word is split and merged on its own, as if it were the text.

@@ -81,3 +81,15 @@ def test_query(spark, sf, library):
             at += length
         assert at == len(ids[d])
     assert covered.keys() == ids.keys()
+
+
+def test_plain_words_are_merged_as_the_library_does(library):
+    from random import Random
+
+    from kindred.llm.vector_packing import WordTokens
+
+    rng = Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzAEIOUßàÄéÉñøÿþÐ"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", ".", " ", "'s", "́", "1"]) for _ in range(3000)]
+    tokens = WordTokens(PATH)
+    assert [np.frombuffer(t, "<u4").tolist() for t in tokens.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
