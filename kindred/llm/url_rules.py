@@ -95,6 +95,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         .agg(F.max_by(F.struct("rule", "action"), F.struct("rule_length", "host_length")).alias("won"))
         .select("host", "path", "won.rule", "won.action")
     )
-    return located.join(decided, ["host", "path"], "left").select(
+    # Rows without a host fit no rule. They would share one key of the join, so they are dealt by id and path instead.
+    apart = F.when(F.col("host") == "", F.xxhash64("page_id", "path")).otherwise(F.lit(0).cast("long"))
+    return located.withColumn("apart", apart).join(decided.withColumn("apart", F.lit(0).cast("long")), ["host", "path", "apart"], "left").select(
         "page_id", "url", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict")
     )

@@ -40,3 +40,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], RULES)
     assert [r.verdict for r in judge(pages, none, default="block").collect()] == ["block"]
     assert judge(pages.where("false"), none).count() == 0
+
+
+def test_many_rows_without_a_host(spark):
+    rows = [(i, None if i % 2 else "no scheme/a") for i in range(500)] + [(None, None), (500, "http://a.org/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = judge(pages, spark.createDataFrame([("org/", "block")], RULES), "allow").collect()
+    assert len(got) == len(rows)
+    assert {(r.host, r.rule, r.verdict) for r in got} == {("", None, "allow"), ("a.org", "org/", "block")}
