@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import one_text_per_id, texts_of
 from kindred.session import broadcast_if_fits
 
 CHUNK, HOP = 256, 224
@@ -157,17 +158,17 @@ def fit_network(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Network
     """A network from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``label`` 0 or 1).
 
     Classes are weighted by their share of all labels, so that one half is even odds. Of several
-    labels of an id the smallest counts. With fewer than two classes the score is that share.
+    labels of an id the smallest counts, of several texts one (``one_text_per_id``). With fewer than two classes the score is that share.
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     pick = F.xxhash64(F.col("doc_id"), F.lit(fit.seed))
     short = docs.select("doc_id", "text").where(F.length("text") <= fit.most_chars)
-    ids = short.select("doc_id").join(broadcast_if_fits(known, 32), "doc_id").withColumn("pick", pick)
+    ids = one_text_per_id(short).join(broadcast_if_fits(known, 32), "doc_id").withColumn("pick", pick)
     parts = [ids.where(F.col("label") == y).orderBy("pick", "doc_id").limit(fit.per_class) for y in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "label"))
+    chosen = parts[0].unionByName(parts[1]).select("doc_id", "mark", "label")
     # Bounded by the limits above.
-    sample = sorted(short.join(chosen, "doc_id").select("doc_id", "label", "text").collect(), key=lambda r: (r["doc_id"], r["text"]))
+    sample = sorted(texts_of(short, chosen, "label").collect(), key=lambda r: (r["doc_id"], r["text"]))
     network = Network(fit)
     y = np.array([r["label"] for r in sample], np.float32)
     if len(set(y.tolist())) < 2:

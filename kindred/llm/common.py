@@ -20,6 +20,25 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def one_text_per_id(rows: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, the columns ``more`` and ``mark`` (a hash of the text), one row for each id and ``more``.
+
+    Of several texts of an id the one with the smallest hash counts.
+    """
+    return rows.select("doc_id", *more, F.xxhash64("text").alias("mark")).groupBy("doc_id", *more).agg(F.min("mark").alias("mark"))
+
+
+def texts_of(rows: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, ``more`` and ``text`` of the ``chosen`` ids, one row for each of their rows.
+
+    ``chosen`` is a bounded table with ``doc_id``, ``mark`` and ``more``, sent to the tasks; so the result
+    is bounded by it, however often an id repeats.
+    """
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    on = ["doc_id", "mark", *[c for c in more if c in rows.columns]]
+    return marked.join(F.broadcast(chosen), on).dropDuplicates(["doc_id", "mark", *more]).select("doc_id", *more, "text")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it in lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

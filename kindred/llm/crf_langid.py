@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.common import one_text_per_id, texts_of
+
 LONGEST = 40
 UNKNOWN = "und"
 BATCH_DOCS = 256
@@ -243,16 +245,16 @@ class Labeller:
 def fit_field(docs: DataFrame, fit: Fit = Fit()) -> Field:
     """A field from the rows of ``docs`` (``doc_id``, ``text``, ``lang``) with a language.
 
-    Every word of a row counts as of the row's language; equal ids are rows of their own. Without
-    usable rows the field has no language.
+    Every word of a row counts as of the row's language. Of equal ids one text per language takes part
+    (``one_text_per_id``), so the sample is bounded however often an id repeats. Without usable rows the
+    field has no language.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") <= fit.most_chars))
     order = Window.partitionBy("lang").orderBy("pick", "doc_id")
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(fit.seed)).alias("pick"))
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit.per_lang)
-    chosen = F.broadcast(chosen.select("doc_id", F.col("lang").alias("label")).distinct())
+    ids = one_text_per_id(known, "lang").withColumn("pick", F.xxhash64("doc_id", F.lit(fit.seed)))
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit.per_lang).select("doc_id", "lang", "mark")
     # Bounded by the limit above per language.
-    sample = known.join(chosen, "doc_id").where(F.col("lang") == F.col("label")).select("doc_id", "lang", "text").collect()
+    sample = texts_of(known, chosen, "lang").collect()
     sample = sorted(sample, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
     rows = [(words_of(r["text"]), r["lang"]) for r in sample]
     rows = [(w, y) for w, y in rows if w]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import one_text_per_id, texts_of
 from kindred.session import broadcast_if_fits
 
 BEGINNINGS = (4, 5)
@@ -146,18 +147,17 @@ def class_prior(labels: DataFrame) -> float:
 def fit_models(docs: DataFrame, toxic_ids: DataFrame, prior: float, fit: Fit = Fit()) -> list[tuple[dict[str, float], float]]:
     """Models from the rows of ``docs`` (``doc_id``, ``text``) and the ids confirmed as toxic.
 
-    Toxic rows may be among the unlabelled ones: that is what the prior corrects.
+    Toxic rows may be among the unlabelled ones: that is what the prior corrects. Of several texts of
+    an id one takes part (``one_text_per_id``).
     """
     rows = docs.select("doc_id", "text").where(F.length("text") <= fit.most_chars)
-    picked = F.xxhash64(F.col("doc_id"), F.lit(fit.seed)).alias("pick")
-    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull())
-    other = ids.select("doc_id", picked).orderBy("pick", "doc_id").limit(fit.unlabelled)
+    ids = one_text_per_id(rows.where(F.col("doc_id").isNotNull())).withColumn("pick", F.xxhash64(F.col("doc_id"), F.lit(fit.seed)))
+    other = ids.orderBy("pick", "doc_id").limit(fit.unlabelled)
     confirmed = toxic_ids.select("doc_id").distinct()
-    positive = ids.join(broadcast_if_fits(confirmed, _ID_BYTES), "doc_id", "left_semi")
-    positive = positive.select("doc_id", picked).orderBy("pick", "doc_id").limit(fit.positives)
-    chosen = positive.select("doc_id", F.lit(True).alias("toxic")).unionByName(other.select("doc_id", F.lit(False).alias("toxic")))
+    positive = ids.join(broadcast_if_fits(confirmed, _ID_BYTES), "doc_id", "left_semi").orderBy("pick", "doc_id").limit(fit.positives)
+    chosen = positive.withColumn("toxic", F.lit(True)).unionByName(other.withColumn("toxic", F.lit(False))).drop("pick")
     # Bounded by the two limits above.
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
+    sample = texts_of(rows, chosen, "toxic").collect()
     sample = sorted(sample, key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     return train([features(r["text"]) for r in sample if r["toxic"]], [features(r["text"]) for r in sample if not r["toxic"]], prior, fit)
 
