@@ -10,6 +10,7 @@ shuffled, memory is bounded, and a lost task is simply run again with the same r
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,10 +51,12 @@ class WordTokens(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For lower-case Latin letters the normaliser changes nothing and the pattern cuts nowhere: only the merge is left.
-        self.merger = Tokenizer.from_file(path)
-        self.merger.normalizer = None
-        self.merger.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        # For lower-case Latin letters the normaliser changes nothing and the pattern cuts nowhere: only the merge is left,
+        # of characters that stand for bytes. A byte without a character of its own has the next one of the alphabet.
+        self.merge = self.tokenizer.model.tokenize
+        alphabet = sorted(map(ord, ByteLevel.alphabet()))
+        spare = iter(a for a in alphabet if a > 255)
+        self.byte_chars = {b: b if b in alphabet else next(spare) for b in range(256)}
         self.old: dict[str, bytes] = {}
 
     def fill(self, parts: set[str]) -> None:
@@ -68,12 +71,12 @@ class WordTokens(dict):
             else:
                 missing.append(p)
         lowered = list({p.lower() if p.isalpha() and len(p.lower()) == len(p) else p for p in missing})
-        plain = [w for w in lowered if _PLAIN.fullmatch(w) and w.islower()]
         ids = {}
-        for at in range(0, len(plain), 4096):
-            words = plain[at : at + 4096]
-            found = self.merger.encode_batch_fast(words, add_special_tokens=False)
-            ids.update(zip(words, (np.asarray(e.ids, "<u4").tobytes() for e in found), strict=True))
+        for word in lowered:
+            if _PLAIN.fullmatch(word) and word.islower():
+                seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_chars)
+                found = [t.id for t in self.merge(seen)]
+                ids[word] = struct.pack(f"<{len(found)}I", *found)
         lowered = [w for w in lowered if w not in ids]
         for at in range(0, len(lowered), 4096):
             words = lowered[at : at + 4096]
