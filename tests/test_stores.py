@@ -6,7 +6,26 @@ from kindred.functions.encoders import embed_batches
 from kindred.operators import cluster
 from kindred.plans.bind import items, names
 from kindred.sources import files
-from kindred.streaming.unseen import append_unseen, read_store
+from kindred.streaming.unseen import append_unseen, bucket_of, read_store, stored_keys
+
+
+def test_a_batch_opens_only_its_own_part_of_the_store(spark, tmp_path):
+    source, store, marks = (str(tmp_path / n) for n in ("in", "store", "marks"))
+    for start in (0, 2000):
+        spark.range(start, start + 2000).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id bigint, text string").parquet(source)
+        append_unseen(stream, store, marks).awaitTermination()
+    assert read_store(spark, store).count() == 4000
+    key = F.sha2(F.col("text"), 256)
+    fresh = spark.createDataFrame([("text 7",), ("never seen",)], "text string").select(key.alias("text_key"))
+    fresh = fresh.withColumn("bucket", bucket_of(F.col("text_key")))
+    known = stored_keys(fresh, store, batch_id=9)
+    filters = known._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in filters
+    everything = read_store(spark, store).inputFiles()
+    assert len(everything) > 400
+    assert known.select(F.input_file_name()).distinct().count() <= 4  # two buckets, two batches
+    assert fresh.join(known, "text_key").count() == 1
 
 
 def test_json_folder(spark, tmp_path):
