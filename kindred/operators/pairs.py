@@ -148,7 +148,8 @@ def pair_histogram(items: DataFrame, bins: int = 50, limit: int = BROADCAST_BYTE
     """Histogram over [-1, 1] of the cosines of all ordered pairs, an item with itself included.
 
     Each block of items is reduced to ``bins`` counts where its products are formed; no pair
-    leaves a task.  Beyond ``limit`` items meet block by block.
+    leaves a task.  Beyond ``limit`` items meet block by block; two different blocks meet once and
+    count for both orders.
     """
     ready = search.unit_items(items).select("item_id", "embedding")
 
@@ -178,15 +179,15 @@ def pair_histogram(items: DataFrame, bins: int = 50, limit: int = BROADCAST_BYTE
     else:
         n_blocks = max(1, -(-ready.count() // blocks.BLOCK_ROWS))
         mine = ready.withColumn("a", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).cast("int"))
-        others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-        rows = mine.withColumn("b", others)
-        columns = mine.toDF("item_id", "embedding", "b").withColumn("a", others)
+        rows = mine.withColumn("b", F.explode(F.sequence("a", F.lit(n_blocks - 1))))
+        columns = mine.toDF("item_id", "embedding", "b").withColumn("a", F.explode(F.sequence(F.lit(0), "b")))
 
         def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
                 return pd.DataFrame({"bin": [], "n": []})
             found = count(blocks.matrix_of(x["embedding"]) @ blocks.matrix_of(y["embedding"]).T)
-            return pd.DataFrame({"bin": np.arange(bins, dtype=np.int32), "n": found})
+            orders = 1 if x["a"].iat[0] == x["b"].iat[0] else 2
+            return pd.DataFrame({"bin": np.arange(bins, dtype=np.int32), "n": orders * found})
 
         parts = rows.groupBy("a", "b").cogroup(columns.groupBy("a", "b")).applyInPandas(
             meet, "bin int, n bigint"

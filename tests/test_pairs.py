@@ -128,6 +128,17 @@ def test_dense_pairs_and_histogram(spark):
     assert counts[0] == counts[1] and sum(counts[0].values()) == 120 * 120
 
 
+def test_pair_histogram_of_many_blocks(spark, monkeypatch):
+    """Blocks that meet once count for both orders."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "c", "001", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(90, 5)))]
+    items = spark.createDataFrame(rows, "item_id bigint, code string, section string, embedding array<double>")
+    whole = {r["bin"]: r["n"] for r in pairs.pair_histogram(items, 20).collect()}
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
+    assert {r["bin"]: r["n"] for r in pairs.pair_histogram(items, 20, 0).collect()} == whole
+    assert sum(whole.values()) == 90 * 90
+
+
 def test_profile_topn_equals_refitting(spark):
     """The corrected fit of every user equals a fit on that user's own corpus."""
     texts = corpus(40, seed=9)
