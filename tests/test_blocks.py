@@ -46,6 +46,34 @@ def test_whole_catalogue_greedy(spark, sf, spec):
     assert small and small == large
 
 
+def test_dealt_catalogue_gives_the_same_lists(spark, sf):
+    """A catalogue beyond the driver's limit reaches the tasks by a shuffle, floats and all."""
+    specs = [selection.topk(7), selection.mmr(5), selection.maxsum(5), selection.xquad(10, 60), selection.final(20, 80)]
+    past, stock = history(spark, sf), items(spark, sf).where("item_id < 400")
+    columns = ["method", "user_id", "pos", "item_id", "code", "section", "cluster", "round(sim, 9)", "round(score, 9)"]
+    shipped, dealt = (
+        sorted(tuple(r) for r in search.recommend(past, stock, specs, limit=limit).selectExpr(*columns).collect())
+        for limit in (search.SHIPPED_BYTES, 1)
+    )
+    assert {r[0] for r in shipped} == {s.method for s in specs} and shipped == dealt
+    mine = user_profiles(past, stock)
+    columns = ["user_id", "n", "round(mean_sim, 9)", "round(low_sim, 9)", "round(high_sim, 9)"]
+    shipped, dealt = (
+        sorted(tuple(r) for r in search.score_summary(mine, stock, limit).selectExpr(*columns).collect())
+        for limit in (search.SHIPPED_BYTES, 1)
+    )
+    assert shipped and shipped == dealt
+
+
+def test_a_large_catalogue_does_not_pass_through_the_driver(spark, sf, monkeypatch):
+    """Between the driver's limit and that of a task nothing is collected and no cells are built."""
+    stock = items(spark, sf)
+    monkeypatch.setattr(blocks, "build_cells", None)
+    monkeypatch.setattr(search, "as_catalogue", None)
+    plan = search.recommend(history(spark, sf), stock, selection.topk(7), limit=1)
+    assert plan.columns[:2] == ["user_id", "method"]
+
+
 def custom(taken, pool, dedupe, cov, k):
     greedy = {"rel": 0.6, "cov": cov} if cov else {}
     name = f"{taken}-{pool}-{dedupe}-{cov}-{k}"
