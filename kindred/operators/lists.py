@@ -50,11 +50,12 @@ def look_up_names(recs: DataFrame, named: DataFrame, default: str) -> DataFrame:
 
 def with_text_groups(items: DataFrame, names: DataFrame) -> DataFrame:
     """``group_id``: the first item with the same text.  Items without text form one group."""
-    keyed = items.join(names.select("item_id", "text"), "item_id", "left").withColumn(
-        "text_key", F.sha2(F.coalesce("text", F.lit("")), 256)
+    known = names.select("item_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("known"))
+    keyed = items.join(known, "item_id", "left").withColumn(
+        "text_key", F.coalesce("known", F.sha2(F.lit(""), 256))
     )
     groups = keyed.groupBy("text_key").agg(F.min("item_id").alias("group_id"))
-    return keyed.join(groups, "text_key").drop("text_key", "text")
+    return keyed.join(groups, "text_key").drop("text_key", "known")
 
 
 def shuffled(key: str, seed: int) -> F.Column:
