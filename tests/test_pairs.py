@@ -139,6 +139,20 @@ def test_pair_histogram_of_many_blocks(spark, monkeypatch):
     assert sum(whole.values()) == 90 * 90
 
 
+def test_dealt_pairs_and_histogram(spark, monkeypatch):
+    """A catalogue beyond the driver's limit needs no cells and no list of visits."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "c", "001", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(90, 5)).astype(np.float32))]
+    items = spark.createDataFrame(rows, "item_id bigint, code string, section string, embedding array<float>")
+    wanted = sorted(tuple(r) for r in pairs.dense_pairs(items, 0.6).selectExpr("id_a", "id_b", "round(sim, 9)").collect())
+    bins = sorted(tuple(r) for r in pairs.pair_histogram(items, 20).collect())
+    monkeypatch.setattr(blocks, "build_cells", None)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", None)
+    dealt = sorted(tuple(r) for r in pairs.dense_pairs(items, 0.6, limit=1).selectExpr("id_a", "id_b", "round(sim, 9)").collect())
+    assert wanted and dealt == wanted
+    assert sorted(tuple(r) for r in pairs.pair_histogram(items, 20, limit=1).collect()) == bins
+
+
 def test_profile_topn_equals_refitting(spark):
     """The corrected fit of every user equals a fit on that user's own corpus."""
     texts = corpus(40, seed=9)
