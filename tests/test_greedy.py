@@ -105,3 +105,21 @@ def test_score_summary_blocked(spark):
     small = sorted(tuple(r) for r in search.score_summary(mine, items).select(*cols).collect())
     large = sorted(tuple(r) for r in search.score_summary(mine, items, limit=0).select(*cols).collect())
     assert small and small == large
+
+
+@pytest.mark.parametrize("make", [selection.mmr, selection.maxsum])
+def test_proven_rounds_pick_what_the_whole_scan_picks(make):
+    """Small pools, many ties: the rounds look at few candidates and still pick the same; an undefined score ends."""
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 60, 150):
+        vectors = np.round(rng.normal(size=(n, 3)), 1) + 0.01
+        vectors[n // 3 : n // 2] = vectors[0]
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        sims = np.round(vectors @ vectors[0], 12)
+        found = np.flatnonzero(rng.random(n) < 0.8)
+        spec = make(25, 0.4)
+        picks, _ = selection.greedy_picks(spec, vectors[found], sims[found], None)
+        for pool in (1, 3, 40):
+            got, scores = selection.greedy_everywhere(spec, vectors[0], vectors, sims, found, pool)
+            assert got.tolist() == found[picks].tolist() and len(scores) == len(got)
+        assert len(selection.greedy_everywhere(spec, vectors[0], vectors, np.full(n, np.nan), found, 3)[0]) <= len(found)
