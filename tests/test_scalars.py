@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import encoders
 from kindred.functions import text as tx
 
 
@@ -46,3 +48,17 @@ def test_item_key(spark):
     df = spark.createDataFrame([("A1", "002", 5), ("A1", "", 5), (None, "1", 5)], "c string, s string, i int")
     keys = [r[0] for r in df.select(tx.build_item_key(F.col("c"), F.col("s"), F.col("i"))).collect()]
     assert keys == ["A1-002", "A1", "course-005"]
+
+
+def test_hashed_vectors_shuffle_a_row_per_text(spark):
+    """Equal to the encoder; rows of one key count together, null and empty lists are zero, and no word is a row."""
+    texts = [(1, "a b c a"), (2, "kind red a"), (2, "b"), (3, ""), (4, None)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    made = encoders.hashed_vectors(df, "id", F.filter(F.split("text", " "), lambda t: t != ""))
+    joined = {1: "a b c a", 2: "kind red a b", 3: "", 4: ""}
+    wanted = encoders.hashing_encoder()()([*joined.values()])
+    found = {r.id: np.array(r.vec, np.float32) for r in made.collect()}
+    assert sorted(found) == sorted(joined)
+    for i, vec in zip(joined, wanted, strict=True):
+        assert np.array_equal(found[i], vec.astype(np.float32))
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
