@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import classify_header, week_label
+from kindred.session import spread_width
 
-PAGE = (
-    "text string, cells array<struct<is_td: boolean, label: string, text: string>>, "
-    "rows array<struct<table_no: int, row_no: int, cells: array<string>>>"
-)
+PAGE = {
+    "text": "string",
+    "cells": "array<struct<is_td: boolean, label: string, text: string>>",
+    "rows": "array<struct<table_no: int, row_no: int, cells: array<string>>>",
+}
 HIDDEN = {"script", "style", "template"}
 
 
@@ -99,27 +101,29 @@ class Page(HTMLParser):
         }
 
 
-def read_page(html: Column, table: str = "table", row: str = "tr", cell: Sequence[str] = ("td", "th")) -> Column:
-    """A page as ``struct<text, cells, rows>``; a null page has no text, cells or rows.
+def read_page(html: Column, table: str = "table", row: str = "tr", cell: Sequence[str] = ("td", "th"), parts: Sequence[str] = tuple(PAGE)) -> Column:
+    """A page as ``struct<text, cells, rows>``, or those of its ``parts`` that are asked for; a null page has none.
 
     Text nodes of a cell are stripped and joined by line breaks; the page's text is squeezed.
     """
 
-    @F.pandas_udf(PAGE)
+    names = list(parts)
+
+    @F.pandas_udf(", ".join(f"{name} {PAGE[name]}" for name in names))
     def parse(series: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([Page(table, row, cell).read(h or "") for h in series], columns=["text", "cells", "rows"])
+        return pd.DataFrame([Page(table, row, cell).read(h or "") for h in series], columns=names)
 
     return parse(html)
 
 
 def visible_text(html: Column) -> Column:
     """Text outside tags, scripts, styles and comments, whitespace squeezed."""
-    return read_page(html)["text"]
+    return read_page(html, parts=["text"])["text"]
 
 
 def page_cells(html: Column) -> Column:
     """Every table cell of a page in order: ``array<struct<is_td, label, text>>``."""
-    return read_page(html)["cells"]
+    return read_page(html, parts=["cells"])["cells"]
 
 
 def after_label(cells: Column, labels: Sequence[str]) -> Column:
@@ -138,27 +142,30 @@ def table_rows(
     table: str = "table", row: str = "tr", cell: Sequence[str] = ("td", "th"),
 ) -> DataFrame:
     """``(key, table_no, row_no, cells)`` of every row of every table of a page."""
-    rows = F.explode(read_page(F.col(html), table, row, cell)["rows"])
+    rows = F.explode(read_page(F.col(html), table, row, cell, ["rows"])["rows"])
     return pages.select(key, rows.alias("r")).select(key, "r.table_no", "r.row_no", "r.cells")
 
 
 def weekly_plan(rows: DataFrame, key: str) -> DataFrame:
     """``(key, week, field, value)`` from the longest table that speaks of weeks.
 
-    Headers become canonical fields; rows without a valid week label are dropped.
+    Headers become canonical fields; rows without a valid week label are dropped. The rows are read once and
+    meet by page once; rows without a key belong to no page.
     """
     week_word = F.exists("cells", lambda c: F.contains(c, F.lit("주차")))
-    tables = rows.groupBy(key, "table_no").agg(
-        F.bool_or(week_word).alias("weekly"), F.count("*").alias("n_rows")
+    known = rows.where(F.col(key).isNotNull()).repartition(spread_width(rows), key)
+    tables = known.groupBy(key, "table_no").agg(
+        F.bool_or(week_word).alias("weekly"), F.count("*").alias("n_rows"),
+        F.collect_list(F.struct("row_no", "cells")).alias("lines"),
     )
     chosen = tables.groupBy(key).agg(
-        F.max_by("table_no", F.struct("weekly", "n_rows", -F.col("table_no"))).alias("table_no")
+        F.max_by("lines", F.struct("weekly", "n_rows", -F.col("table_no"))).alias("lines")
     )
-    mine = rows.join(chosen, [key, "table_no"])
-    headers = mine.where("row_no = 0").select(key, F.col("cells").alias("headers"))
-    body = mine.where("row_no > 0").join(headers, key)
+    headers = F.filter("lines", lambda r: r["row_no"] == 0)
+    body = chosen.withColumn("headers", F.explode(headers)).withColumn("r", F.explode("lines")).where("r.row_no > 0")
     labelled = body.select(
-        key, "row_no", week_label(F.try_element_at("cells", F.lit(1))).alias("week"), "cells", "headers"
+        key, "r.row_no", week_label(F.try_element_at("r.cells", F.lit(1))).alias("week"), "r.cells",
+        F.col("headers.cells").alias("headers"),
     ).where(F.col("week").isNotNull())
     cells = labelled.select(key, "row_no", "week", "cells", F.posexplode("headers").alias("i", "header"))
     fields = cells.where("i > 0").select(

@@ -125,3 +125,14 @@ def test_select_fields(spark):
     df = spark.sql("SELECT 1 AS id, 'n' AS `교과목명`, 3.0D AS `학점`, named_struct('a', 'x', 'b', named_struct('c', cast(null AS string), 'd', 'y')) AS `강의목표`, named_struct('a', cast(null AS string)) AS `강의개요`")
     got = frames.select_fields(df, "id", frames.COMPARED_FIELDS).first()
     assert got.asDict() == {"id": 1, "교과목명": "n", "강의목표": "x y", "강의개요": None}
+
+
+def test_weekly_plan_reads_each_page_once(spark):
+    """One parse and one meeting of a page's rows; a second copy of a page and a page without a key change nothing."""
+    page = "<table><tr><th>주차</th><th>강의주제</th></tr><tr><td>1</td><td>a{}</td></tr></table><table><tr><td>x</td></tr></table>"
+    df = spark.createDataFrame([(1, page.format(1)), (1, page.format(1)), (2, page.format(2)), (None, page.format(3))], "id bigint, html string")
+    plan = pages.weekly_plan(pages.table_rows(df, "id"), "id")
+    assert sorted(tuple(r) for r in plan.collect()) == [(1, "1주차", "강의주제", "a1"), (2, "1주차", "강의주제", "a2")]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    text = text.split("== Initial Plan ==")[-1]
+    assert text.count("ArrowEvalPython") == 1 and "Join" not in text and text.count("Exchange") == 1
