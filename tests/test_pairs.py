@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import blocks, impact, pairs, search, tfidf, two_stage
+from kindred.operators import blocks, impact, pairs, products, search, tfidf, two_stage
 
 
 def corpus(n=90, seed=3):
@@ -200,3 +200,27 @@ def test_hybrid_of_all_documents(spark, sf, tmp_path):
     for name in ("hybrid_similarity_all", "pair_self_join_all"):
         found = {(r.id_a, r.id_b): r.hybrid for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert found[0, 1] == found[2, 3] == 1.0
+
+
+@pytest.mark.parametrize("block_docs", [7, 1000])
+def test_blocks_meet_once_without_joining_pairs(spark, block_docs):
+    """Rows of one id, rows without an id or postings, terms both frequent and rare, vectors on both sides."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        nos = np.sort(rng.choice(40, rng.integers(0, 9), replace=False) ** 3)
+        nos = np.concatenate([[-1], nos]) if i % 2 else nos
+        vec = rng.normal(size=4)
+        rows.append((None if i == 50 else i // 2 * 2, [int(x) for x in nos], [float(x) for x in rng.random(len(nos))], [float(x) for x in vec / np.linalg.norm(vec)]))
+    df = spark.createDataFrame(rows, "id bigint, nos array<bigint>, ws array<double>, vec array<double>").repartition(3)
+    wanted = []
+    for i, (a, na, wa, va) in enumerate(rows):
+        for b, nb, wb, vb in rows[i + 1 :]:
+            text = sum(x * dict(zip(nb, wb, strict=True)).get(n, 0.0) for n, x in zip(na, wa, strict=True))
+            dense = float(np.dot(va, vb))
+            if None not in (a, b) and a != b and 0.6 * dense + 0.4 * text >= 0.4:
+                wanted.append((min(a, b), max(a, b), round(text, 9), round(dense, 9)))
+    made = products.block_pairs(df, 0.4, 0.6, block_docs)
+    assert sorted((r.id_a, r.id_b, round(r.text, 9), round(r.dense, 9)) for r in made.collect()) == sorted(wanted)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
