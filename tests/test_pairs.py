@@ -224,3 +224,29 @@ def test_blocks_meet_once_without_joining_pairs(spark, block_docs):
     assert sorted((r.id_a, r.id_b, round(r.text, 9), round(r.dense, 9)) for r in made.collect()) == sorted(wanted)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("room", [0, 3, 25, 10_000])
+def test_frequent_terms_are_broadcast_and_the_others_joined(spark, room):
+    """Every limit gives the same counts; below all terms the frequent ones still stay where they are."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id bigint, text string")
+    counts = tfidf.term_counts(docs)
+    known = tfidf.prune(tfidf.document_frequency(counts), 90)
+    made = tfidf.with_frequency(counts, known, room * tfidf.TERM_BYTES)
+    wanted = counts.join(known.select("term", "df"), "term")
+    rows = [sorted(tuple(r) for r in d.select("doc_id", "term", "tf", "df").collect()) for d in (made, wanted)]
+    assert rows[0] == rows[1] and len(rows[0]) > 300
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftAnti" in plan) == (room == 25)
+
+
+def test_only_candidates_are_encoded(spark):
+    """The cut is a semi join below the aggregate that makes the vectors."""
+    found = spark.createDataFrame([(1, 2), (1, 3)], "query_id bigint, doc_id bigint")
+    tokens = spark.createDataFrame([(i, f"t{i % 3}") for i in range(50)], "doc_id bigint, token string")
+    vectors = tokens.groupBy("doc_id").agg(F.array(F.count("token").cast("double")).alias("vec"))
+    asked = spark.createDataFrame([(1, [2.0])], "query_id bigint, vec array<double>")
+    made = two_stage.rerank_dense(found, asked, vectors, 5)
+    assert sorted((r.doc_id, r.sim, r.pos) for r in made.collect()) == [(2, 2.0, 1), (3, 2.0, 2)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
