@@ -250,3 +250,24 @@ def test_only_candidates_are_encoded(spark):
     assert sorted((r.doc_id, r.sim, r.pos) for r in made.collect()) == [(2, 2.0, 1), (3, 2.0, 2)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("block_bytes", [200, 1 << 26])
+def test_joined_texts_are_not_shuffled_per_user(spark, block_bytes, capsys):
+    """Every text of a user in document order, repeated rows and nulls as before; blocks of any size agree."""
+    texts = [(i, f"t{i} é" if i % 7 else None) for i in range(40)] + [(3, "again"), (3, "t3 é"), (None, "lost")]
+    taken = [(u, d) for u in range(30) for d in range(40) if (u * 7 + d * 3) % 5 == 0]
+    taken += [(None, 3), (None, 1), (2, 3), (2, 3), (50, 7), (51, 99)]
+    made = two_stage.user_text(
+        spark.createDataFrame(taken, "user_id long, doc_id long"), spark.createDataFrame(texts, "doc_id long, text string"), block_bytes
+    )
+    want = {}
+    for user in {u for u, _ in taken}:
+        rows = sorted([(d, t or "", t) for u, d in taken if u == user for e, t in texts if e == d], key=lambda r: r[:2])
+        if rows:
+            want[user] = " ".join(t for *_, t in rows if t is not None)
+    assert want[50] == "" and 51 not in want
+    got = made.collect()
+    assert {r["user_id"]: r["text"] for r in got} == want and len(got) == len(want)
+    made.explain()
+    assert "collect_list(struct" not in capsys.readouterr().out
