@@ -11,6 +11,8 @@ words hold one bit per diagonal of the band. Everything is DataFrame operations.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import WORD_GAPS, let
 from kindred.session import broadcast_if_fits, cut_lineage
 
+# Letters counted in each line; of lines longer than LONG_CHARS only the first COUNTED_LONG, whose counts vary enough there.
 COUNTED = "etaonirshdlc"
+COUNTED_LONG, LONG_CHARS = 6, 100
 LAST = (1 << 63) - 1
 _KEY_BYTES = 64
 
@@ -31,6 +35,12 @@ class Near:
     least_chars: int = 30
 
 
+def _trimmed(raw: Column) -> Column:
+    """``raw`` without gaps at its ends; a trim goes over the whole line, so only lines that have some are trimmed."""
+    ends = [F.startswith(raw, F.lit(gap)) | F.endswith(raw, F.lit(gap)) for gap in WORD_GAPS]
+    return F.when(reduce(or_, ends), F.trim(raw, F.lit(WORD_GAPS))).otherwise(raw)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """``place`` (id, row mark, line number), ``line`` (trimmed) and its digest, for lines that hold something."""
     rows = docs.select(
@@ -38,29 +48,56 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
     return (
         rows.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-        .withColumn("line", F.trim("raw", F.lit(WORD_GAPS)))
+        .withColumn("line", _trimmed(F.col("raw")))
         .where(F.col("line") != "")
         .select(F.struct("id", "mark", "at").alias("place"), "line", F.unhex(F.md5("line")).alias("digest"))
     )
 
 
-def _counts(line: Column) -> Column:
-    """Occurrences of some frequent letters modulo 32, five bits each."""
+def with_counts(sized: DataFrame) -> DataFrame:
+    """``sized`` (``line``, its length ``n``) with ``counts``: occurrences of some letters modulo 32, five bits each.
+
+    A letter is counted by what is lost when it is taken out, and the next one in what is left, so
+    that the text gets shorter from letter to letter. Bit 60 marks a long line.
+    """
+    made, names = sized.withColumn("rest0", F.col("line")), sized.columns
+    for i, letter in enumerate(COUNTED[:COUNTED_LONG]):
+        sizes = [f"size{j}" for j in range(i)]
+        left = F.replace(F.col(f"rest{i}"), F.lit(letter), F.lit(""))
+        made = made.select(*names, *sizes, F.octet_length(f"rest{i}").alias(f"size{i}"), left.alias(f"rest{i + 1}"))
+    made = made.withColumn(f"size{COUNTED_LONG}", F.octet_length(f"rest{COUNTED_LONG}"))
     total = F.lit(0).cast("long")
-    for i, letter in enumerate(COUNTED):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(31)), 5 * i))
-    return total
+    for i in range(COUNTED_LONG):
+        n = (F.col(f"size{i}") - F.col(f"size{i + 1}")).cast("long")
+        total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31)), 5 * i))
+
+    def other(place: Column) -> Column:
+        left = F.replace(F.col(f"rest{COUNTED_LONG}"), F.substr(F.lit(COUNTED), place, F.lit(1)), F.lit(""))
+        n = (F.col(f"size{COUNTED_LONG}") - F.octet_length(left)).cast("long").bitwiseAND(F.lit(31))
+        return n * F.element_at(units, place)
+
+    # A lambda on purpose: beside the keys, twelve compiled counts make a method too large for the JIT.
+    units = F.array(*[F.lit(1 << 5 * i).cast("long") for i in range(len(COUNTED))])
+    places = F.sequence(F.lit(COUNTED_LONG + 1), F.lit(len(COUNTED)))
+    others = F.aggregate(F.transform(places, other), F.lit(0).cast("long"), lambda x, y: x + y)
+    rest = F.when(F.col("n") > LONG_CHARS, F.lit(1 << 60).cast("long")).otherwise(others)
+    return made.select(*names, total.bitwiseOR(rest).alias("counts"))
 
 
 def _count_gap(a: Column, b: Column) -> Column:
     """Difference of packed counts; an edit changes at most two letter counts by one each."""
-    total = F.lit(0)
-    for i in range(len(COUNTED)):
-        part = [F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31)).cast("int") for x in (a, b)]
-        gap = F.abs(part[0] - part[1])
-        total = total + F.least(gap, F.lit(32) - gap)
-    return total
+
+    def over(letters: range) -> Column:
+        total = F.lit(0)
+        for i in letters:
+            part = [F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31)).cast("int") for x in (a, b)]
+            gap = F.abs(part[0] - part[1])
+            total = total + F.least(gap, F.lit(32) - gap)
+        return total
+
+    some_long = F.shiftrightunsigned(a.bitwiseOR(b), 60) > 0
+    rest = F.when(some_long, F.lit(0)).otherwise(over(range(COUNTED_LONG, len(COUNTED))))
+    return over(range(COUNTED_LONG)) + rest
 
 
 def windows(edits: int) -> list[tuple[int, int, int]]:
@@ -85,26 +122,22 @@ def with_keys(sized: DataFrame, near: Near, *keep: str) -> DataFrame:
     A key is made of the length and number of the segment that the substring may equal, and the
     substring. The first ``edits + 1`` are those of the line's own segments, under which it is
     indexed. Of the segments of a length the last ones are one longer where it does not come out
-    even; that arithmetic is done once per length, so that the lambda only cuts and hashes.
+    even; that arithmetic is done once per length. Each key is an expression of its own, not a lambda
+    over windows, so that it is compiled.
     """
     parts = near.edits + 1
     lengths = {}
     for less in range(parts):
         lengths[f"short{less}"] = F.call_function("div", F.col("n") - less, F.lit(parts)).cast("int")
         lengths[f"more{less}"] = (F.col("n") - less) % parts
-    spots = []
+    keys = []
     for less, i, shift in windows(near.edits):
         short, more = F.col(f"short{less}"), F.col(f"more{less}")
         at = short * i + F.greatest(F.lit(0), more - (parts - i)) + shift
         size = short + (more >= parts - i).cast("int")
-        spots.append(F.struct((F.col("n") - less).alias("n"), F.lit(i).alias("i"), at.alias("at"), size.alias("size")))
-    cut = sized.withColumns(lengths).select(*keep, "line", "n", F.array(*spots).alias("spots"))
-
-    def key(spot: Column) -> Column:
-        inside = (spot["at"] >= 0) & (spot["at"] + spot["size"] <= F.col("n"))
-        return F.when(inside, F.xxhash64(spot["n"], spot["i"], F.substr("line", spot["at"] + 1, spot["size"])))
-
-    return cut.select(*keep, F.transform("spots", key).alias("keys"))
+        inside = (at >= 0) & (at + size <= F.col("n"))
+        keys.append(F.when(inside, F.xxhash64(F.col("n") - less, F.lit(i), F.substr("line", at + 1, size))))
+    return sized.withColumns(lengths).select(*keep, F.array(*keys).alias("keys"))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -157,8 +190,8 @@ def near_links(lines: DataFrame, near: Near) -> DataFrame:
     """Digests ``a, b`` of different lines within the threshold, each pair once."""
     n = F.length("line")
     # A copy of a line adds nothing: one row per line, before its keys are dealt out.
-    sized = lines.where(n >= near.least_chars).select(
-        "line", n.cast("int").alias("n"), F.xxhash64("line").alias("id"), _counts(F.col("line")).alias("counts")
+    sized = with_counts(
+        lines.where(n >= near.least_chars).select("line", n.cast("int").alias("n"), F.xxhash64("line").alias("id"))
     )
     keyed = with_keys(sized, near, "id", "counts").groupBy("id").agg(F.first("keys").alias("keys"), F.first("counts").alias("counts"))
     places = windows(near.edits)
@@ -175,8 +208,9 @@ def near_links(lines: DataFrame, near: Near) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = (
         lines.where(n >= near.least_chars)
-        .select(F.xxhash64("line").alias("id"), "line", "digest")
+        .select(F.xxhash64("line").alias("id"), "line")
         .join(broadcast_if_fits(wanted, 16), "id", "left_semi")
+        .withColumn("digest", F.unhex(F.md5("line")))
         .dropDuplicates(["id", "digest"])
     )
     texts = cut_lineage(texts)
@@ -193,7 +227,9 @@ def near_links(lines: DataFrame, near: Near) -> DataFrame:
 def dropped_lines(docs: DataFrame, near: Near) -> DataFrame:
     """``id, mark`` of rows that lose lines, with the numbers of those lines (``equal``, ``near``)."""
     lines = lines_of(docs)
-    first = cut_lineage(lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    # Written once, since texts take long to split: later steps need places and digests, not the lines.
+    placed = cut_lineage(lines.select("place", "digest"))
+    first = cut_lineage(placed.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     links = cut_lineage(near_links(lines, near))
     ends = links.select("a", "b").union(links.select("b", "a"))
     seen = first.select("digest", "first")
@@ -207,7 +243,7 @@ def dropped_lines(docs: DataFrame, near: Near) -> DataFrame:
     )
     judged = first.join(broadcast_if_fits(later, _KEY_BYTES), "digest", "left").where("n > 1 OR late")
     judged = cut_lineage(judged.select("digest", "first", F.coalesce("late", F.lit(False)).alias("late")))
-    gone = lines.join(broadcast_if_fits(judged, _KEY_BYTES), "digest").where(F.col("late") | (F.col("place") != F.col("first")))
+    gone = placed.join(broadcast_if_fits(judged, _KEY_BYTES), "digest").where(F.col("late") | (F.col("place") != F.col("first")))
     return (
         gone.select("place.id", "place.mark", "place.at", (F.col("place") != F.col("first")).alias("again"))
         .distinct()

@@ -5,7 +5,18 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kindred.llm.line_dedup import Near, dedupe, keep_lines, with_keys, within
+from kindred.llm.line_dedup import (
+    COUNTED,
+    COUNTED_LONG,
+    LONG_CHARS,
+    Near,
+    _count_gap,
+    dedupe,
+    keep_lines,
+    with_counts,
+    with_keys,
+    within,
+)
 
 GAPS = " \t\n\x0b\f\r"
 
@@ -120,3 +131,20 @@ def test_awkward(spark, awkward_docs, no_docs):
     texts = [r.text for r in kept.collect()]
     assert texts.count("same line here") == 1 and None in texts and "" in texts
     assert dedupe(no_docs).count() == 0 and keep_lines(no_docs).count() == 0
+
+
+def test_counts_bound_edits_across_the_long_limit(spark):
+    """Counts of lines on both sides of LONG_CHARS differ by no more than two per edit, and are those of a plain count."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice(COUNTED + " qxé🙂") for _ in range(rng.choice([30, LONG_CHARS - 1, LONG_CHARS, LONG_CHARS + 1, 330])))
+        rows.append((a, edited(rng, a, 2)))
+    both = spark.createDataFrame(rows, "a string, b string")
+    for side in "ab":
+        sized = both.withColumn("line", F.col(side)).withColumn("n", F.length(side))
+        both = with_counts(sized).drop("line", "n").withColumnRenamed("counts", f"of_{side}")
+    for r in both.withColumn("gap", _count_gap(F.col("of_a"), F.col("of_b"))).collect():
+        assert r["gap"] <= 4
+        letters = COUNTED if len(r["a"]) <= LONG_CHARS else COUNTED[:COUNTED_LONG]
+        assert [(r["of_a"] >> 5 * i) & 31 for i in range(len(letters))] == [r["a"].count(c) % 32 for c in letters]
