@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import WORD_GAPS, let
 from kindred.session import broadcast_if_fits, cut_lineage
 
-# Letters counted in each line; of lines longer than LONG_CHARS only the first COUNTED_LONG, whose counts vary enough there.
+# Letters counted in each line, and how many of them by compiled code.
 COUNTED = "etaonirshdlc"
-COUNTED_LONG, LONG_CHARS = 6, 100
+COMPILED = 6
 LAST = (1 << 63) - 1
 _KEY_BYTES = 64
 
@@ -58,46 +58,39 @@ def with_counts(sized: DataFrame) -> DataFrame:
     """``sized`` (``line``, its length ``n``) with ``counts``: occurrences of some letters modulo 32, five bits each.
 
     A letter is counted by what is lost when it is taken out, and the next one in what is left, so
-    that the text gets shorter from letter to letter. Bit 60 marks a long line.
+    that the text gets shorter from letter to letter.
     """
     made, names = sized.withColumn("rest0", F.col("line")), sized.columns
-    for i, letter in enumerate(COUNTED[:COUNTED_LONG]):
+    for i, letter in enumerate(COUNTED[:COMPILED]):
         sizes = [f"size{j}" for j in range(i)]
         left = F.replace(F.col(f"rest{i}"), F.lit(letter), F.lit(""))
         made = made.select(*names, *sizes, F.octet_length(f"rest{i}").alias(f"size{i}"), left.alias(f"rest{i + 1}"))
-    made = made.withColumn(f"size{COUNTED_LONG}", F.octet_length(f"rest{COUNTED_LONG}"))
+    made = made.withColumn(f"size{COMPILED}", F.octet_length(f"rest{COMPILED}"))
     total = F.lit(0).cast("long")
-    for i in range(COUNTED_LONG):
+    for i in range(COMPILED):
         n = (F.col(f"size{i}") - F.col(f"size{i + 1}")).cast("long")
         total = total.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31)), 5 * i))
 
     def other(place: Column) -> Column:
-        left = F.replace(F.col(f"rest{COUNTED_LONG}"), F.substr(F.lit(COUNTED), place, F.lit(1)), F.lit(""))
-        n = (F.col(f"size{COUNTED_LONG}") - F.octet_length(left)).cast("long").bitwiseAND(F.lit(31))
+        left = F.replace(F.col(f"rest{COMPILED}"), F.substr(F.lit(COUNTED), place, F.lit(1)), F.lit(""))
+        n = (F.col(f"size{COMPILED}") - F.octet_length(left)).cast("long").bitwiseAND(F.lit(31))
         return n * F.element_at(units, place)
 
     # A lambda on purpose: beside the keys, twelve compiled counts make a method too large for the JIT.
     units = F.array(*[F.lit(1 << 5 * i).cast("long") for i in range(len(COUNTED))])
-    places = F.sequence(F.lit(COUNTED_LONG + 1), F.lit(len(COUNTED)))
+    places = F.sequence(F.lit(COMPILED + 1), F.lit(len(COUNTED)))
     others = F.aggregate(F.transform(places, other), F.lit(0).cast("long"), lambda x, y: x + y)
-    rest = F.when(F.col("n") > LONG_CHARS, F.lit(1 << 60).cast("long")).otherwise(others)
-    return made.select(*names, total.bitwiseOR(rest).alias("counts"))
+    return made.select(*names, total.bitwiseOR(others).alias("counts"))
 
 
 def _count_gap(a: Column, b: Column) -> Column:
     """Difference of packed counts; an edit changes at most two letter counts by one each."""
-
-    def over(letters: range) -> Column:
-        total = F.lit(0)
-        for i in letters:
-            part = [F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31)).cast("int") for x in (a, b)]
-            gap = F.abs(part[0] - part[1])
-            total = total + F.least(gap, F.lit(32) - gap)
-        return total
-
-    some_long = F.shiftrightunsigned(a.bitwiseOR(b), 60) > 0
-    rest = F.when(some_long, F.lit(0)).otherwise(over(range(COUNTED_LONG, len(COUNTED))))
-    return over(range(COUNTED_LONG)) + rest
+    total = F.lit(0)
+    for i in range(len(COUNTED)):
+        part = [F.shiftrightunsigned(x, 5 * i).bitwiseAND(F.lit(31)).cast("int") for x in (a, b)]
+        gap = F.abs(part[0] - part[1])
+        total = total + F.least(gap, F.lit(32) - gap)
+    return total
 
 
 def windows(edits: int) -> list[tuple[int, int, int]]:
