@@ -3,8 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from kindred.operators import scan, search, selection
+from kindred.operators import compare, scan, search, selection
+from kindred.plans.bind import history, items
 
 
 def catalogue(n=9000, width=12, seed=3, kind=np.float32):
@@ -86,6 +88,17 @@ def test_counted_lists(monkeypatch):
         assert len(got) == len(wanted) and {(r["user_id"], r["method"]): r["n_keys"] for r in got} == {k: len(v) for k, v in wanted.items()}
 
 
+def test_counted_lists_compare_as_lists(spark, sf):
+    """By the tasks' numbers and by cells as by rows; copies of items and codes without a value included."""
+    past, stock = history(spark, sf), items(spark, sf).withColumn("section", F.when(F.col("item_id") % 3 > 0, F.col("section")))
+    specs = [selection.topk(5), selection.threshold(0.1), selection.mmr(3), selection.maxsum(3), selection.xquad(5, 20)]
+    rows = [
+        sorted(map(tuple, compare.compare_sets(search.recommend(past, stock, specs, limit=limit, counted=counted)).collect()))
+        for limit, counted in ((search.SHIPPED_BYTES, ()), (search.SHIPPED_BYTES, ["threshold"]), (1, ["threshold"]), (0, ["threshold"]))
+    ]
+    assert rows[0] and all(r == rows[0] for r in rows[1:])
+
+
 def test_undefined_vectors_are_scored_whole():
     cat = catalogue()
     cat.vectors[5] = np.nan
