@@ -271,3 +271,30 @@ def test_joined_texts_are_not_shuffled_per_user(spark, block_bytes, capsys):
     assert {r["user_id"]: r["text"] for r in got} == want and len(got) == len(want)
     made.explain()
     assert "collect_list(struct" not in capsys.readouterr().out
+
+
+def test_blocks_are_built_from_flat_arrays():
+    """Documents of several batches as one block, without an object per posting."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kind = pa.schema([
+        ("doc_id", pa.int64()), ("nos", pa.list_(pa.int64())), ("ws", pa.list_(pa.float64())), ("sums", pa.list_(pa.float64())),
+        ("edge", pa.list_(pa.struct([(c, pa.float64()) for c in ("df", "s0", "s1", "s2")]))),
+    ])
+    edges = [None, [], [{"df": 3.0, "s0": 1.0, "s1": 2.0, "s2": 4.0}]]
+    docs = [{"doc_id": 10 * i, "nos": [i, 7, 3], "ws": [0.1 * i, 0.7, 0.3], "sums": [1.0 * i, 2.0, 3.0], "edge": edges[i % 3]} for i in range(9)]
+    batches = [pa.RecordBatch.from_pylist(docs[a:b], kind) for a, b in ((0, 4), (4, 9))]
+    runs = [impact.Run.of(b) for b in batches]
+    names = impact._BLOCK.names
+    block = impact.Block(dict(zip(names, impact.block_rows(impact.Run.joined([runs[0].part(1, 4), runs[1].part(0, 5)]), 5))))
+    assert block.docs.tolist() == [10 * i for i in range(1, 9)] and block.edge_doc.tolist() == [1, 4, 7]
+    assert block.terms[block.at].tolist() == [t for i in range(1, 9) for t in (i, 7, 3)]
+    assert np.allclose(block.w, [w for i in range(1, 9) for w in (0.1 * i, 0.7, 0.3)]) and block.edge_sums.tolist() == [[1, 2, 4]] * 3
+    many = pa.RecordBatch.from_pylist([{"doc_id": i, "nos": list(range(500)), "ws": [0.5] * 500, "sums": [], "edge": None} for i in range(400)], kind)
+    tracemalloc.start()
+    impact.block_rows(impact.Run.of(many).part(0, 400), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * 200_000
