@@ -298,3 +298,30 @@ def test_blocks_are_built_from_flat_arrays():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 80 * 200_000
+
+
+@pytest.mark.parametrize("block_docs", [7, 1000])
+def test_rows_of_one_kind_meet_apart(spark, block_docs, monkeypatch):
+    """As a join of all pairs by kind: a kind that shares its hash, ids of several kinds, twice of one, or of none."""
+    monkeypatch.setattr(products, "KINDS", 2)
+    rng = np.random.default_rng(6)
+    kinds = [rng.choice(["en", "de", "fr", ""], rng.integers(0, 3)).tolist() for _ in range(50)]
+    held = [([int(x) for x in rng.choice(9, 4, replace=False)], [float(x) for x in rng.random(4)]) for _ in range(50)]
+    rows = [(i, *held[i], k) for i in range(50) for k in [*kinds[i], None]]
+    df = spark.createDataFrame(rows, "id bigint, nos array<bigint>, ws array<double>, kind string")
+    plain = products.block_pairs(df.where("kind is null").drop("kind"), 0.3, block_docs=block_docs)
+    of = df.where("kind is not null").select("id", "kind")
+    joined = plain.join(of.toDF("id_a", "kind"), "id_a").join(of.toDF("id_b", "kind"), ["id_b", "kind"])
+    columns = ["id_a", "id_b", "kind", "round(text, 9)"]
+    got = products.block_pairs(df, 0.3, block_docs=block_docs)
+    assert sorted(map(tuple, got.selectExpr(*columns).collect())) == sorted(map(tuple, joined.selectExpr(*columns).collect())) != []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_terms_are_numbered_where_frequencies_are_joined(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma delta{i // 2}") for i in range(12)], "doc_id long, text string")
+    made = tfidf.tfidf(docs, numbers=True)
+    assert products.numbered(made) is made
+    assert made.groupBy("term").agg(F.countDistinct("no").alias("n")).where("n <> 1").isEmpty()
+    assert made.select("term").distinct().count() == made.select("no").distinct().count() > 3
